@@ -132,6 +132,14 @@ def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ratings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Training and candidates both read the ratings, and a lost executor makes
+    # training read them again, so the join behind them runs once.
+    path = shared_dir(spark, "ratings")
+    _ratings(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.derive_items(fx.table(spark, sf_dir, "part"))
 
@@ -240,7 +248,7 @@ def _sink_run_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _als_factor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_recommender(_ratings(spark, sf_dir)).model
+    model = train_recommender(_ratings_table(spark, sf_dir)).model
 
     def factors(kind: str, table: DataFrame) -> DataFrame:
         return table.select(
@@ -251,7 +259,7 @@ def _als_factor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _als_scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trained = train_recommender(_ratings(spark, sf_dir))
+    trained = train_recommender(_ratings_table(spark, sf_dir))
     items = _items(spark, sf_dir)
     return score_candidates(trained.model, trained.raters, items, USER).select(
         "userId", "movieId", "title", F.col("prediction").isNotNull().alias("scored")
@@ -259,20 +267,20 @@ def _als_scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _als_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = _ratings(spark, sf_dir)
+    ratings = _ratings_table(spark, sf_dir)
     model = train_recommender(ratings).model
     return recommend(model, ratings, _items(spark, sf_dir), USER)
 
 
 def _als_recommend_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = _ratings(spark, sf_dir)
+    ratings = _ratings_table(spark, sf_dir)
     model = train_recommender(ratings).model
     return recommend(model, ratings, _items(spark, sf_dir), USER, candidates="unseen")
 
 
 def _als_model_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "recommender")
-    train_recommender(_ratings(spark, sf_dir), path)
+    train_recommender(_ratings_table(spark, sf_dir), path)
     again = load_recommender(spark, path)
     items = _items(spark, sf_dir)
     first, second, third = (
