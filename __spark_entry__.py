@@ -20,7 +20,6 @@ from rankforge import fixtures as fx  # noqa: E402
 from rankforge.operators.access_log import (  # noqa: E402
     active_user_total,
     count_by_user,
-    filter_dates,
     parse_access_log,
 )
 from rankforge.operators.candidates import (  # noqa: E402
@@ -68,15 +67,15 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "access_log_scan": _access_log_scan,
-        "access_log_parse": lambda s, d: _entries(s, d),
-        "access_log_date_from": lambda s, d: filter_dates(_entries(s, d), date_from=DATE_FROM),
-        "access_log_date_to": lambda s, d: filter_dates(_entries(s, d), date_to=DATE_TO),
-        "access_log_date_between": lambda s, d: filter_dates(_entries(s, d), DATE_FROM, DATE_TO),
+        "access_log_parse": _entries,
+        "access_log_date_from": lambda s, d: _entries(s, d, date_from=DATE_FROM),
+        "access_log_date_to": lambda s, d: _entries(s, d, date_to=DATE_TO),
+        "access_log_date_between": lambda s, d: _entries(s, d, DATE_FROM, DATE_TO),
         "access_log_bad_dates_unbounded": lambda s, d: count_by_user(
             parse_access_log(_lines(s, d, bad_dates=True))
         ),
-        "access_log_bad_dates_dropped": lambda s, d: filter_dates(
-            parse_access_log(_lines(s, d, bad_dates=True)), DATE_FROM, DATE_TO, on_bad_date="drop"
+        "access_log_bad_dates_dropped": lambda s, d: parse_access_log(
+            _lines(s, d, bad_dates=True), DATE_FROM, DATE_TO, on_bad_date="drop"
         ),
         "user_activity_counts": lambda s, d: count_by_user(_entries(s, d)),
         "active_user_total": lambda s, d: active_user_total(_entries(s, d)),
@@ -116,8 +115,8 @@ def _lines(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataFra
     return fx.render_access_log(fx.table(spark, sf_dir, "events"), bad_dates)
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_access_log(_lines(spark, sf_dir))
+def _entries(spark: SparkSession, sf_dir: str, date_from=None, date_to=None) -> DataFrame:
+    return parse_access_log(_lines(spark, sf_dir), date_from, date_to)
 
 
 def _log_dir(spark: SparkSession, sf_dir: str) -> str:

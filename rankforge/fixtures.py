@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.functions.evaluation import once
+
 BAD_DATE = "31/Foo/2024"
 
 
@@ -36,9 +38,8 @@ def render_access_log(events: DataFrame, bad_dates: bool = False) -> DataFrame:
     if bad_dates:
         stamp = F.when(kind == "error", F.lit(f"{BAD_DATE}:00:00:00")).otherwise(stamp)
     line = F.concat(F.lit("["), stamp, F.lit("] "), kind, rest)
-    # Exploding makes the line a column of its own, as a scan would. Catalyst
-    # would otherwise render it again wherever an operator looks at it.
-    return events.select(F.explode(F.array(line)).alias("value"))
+    # As from a scan: operators that look at a line do not render it again.
+    return events.select(once(line).alias("value"))
 
 
 def derive_ratings(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

@@ -1,72 +1,59 @@
-"""Access log: match lines, bound dates, count users."""
+"""Access log: match lines within dates, count users."""
 
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.functions.evaluation import once
 from rankforge.functions.log_line import entry_date, may_be_entry, users
 
 
-def parse_access_log(lines: DataFrame) -> DataFrame:
-    """Lines ``value`` to ``username string, log_date date``; other lines drop.
-
-    ``log_date`` is NULL where the calendar has no such date, and is not
-    computed unless something downstream uses it.
-    """
-    # Exploding the array of matches finds and extracts in one evaluation of
-    # the pattern; a filter followed by an extraction would need two.
-    line = F.col("value")
-    return lines.where(may_be_entry(line)).select(
-        F.explode(users(line)).alias("username"),
-        entry_date(line).alias("log_date"),
-    )
-
-
-def filter_dates(
-    entries: DataFrame,
+def parse_access_log(
+    lines: DataFrame,
     date_from: date | str | None = None,
     date_to: date | str | None = None,
     on_bad_date: str = "fail",
 ) -> DataFrame:
-    """Keep entries within the bounds, both inclusive, each one optional.
+    """Lines ``value`` to ``username string, log_date date``; other lines drop.
 
-    Only with a bound do entries without a valid date matter: they fail the
-    query, or are dropped with ``on_bad_date="drop"``.
+    The bounds are inclusive and each is optional. Only with a bound do entries
+    without a valid date matter: they fail the query, or are dropped with
+    ``on_bad_date="drop"``. Without one their ``log_date`` is NULL, and dates
+    are not parsed unless something downstream uses them.
     """
     if on_bad_date not in ("fail", "drop"):
         raise ValueError(f"on_bad_date must be fail or drop, not {on_bad_date!r}")
     low, high = _as_date(date_from), _as_date(date_to)
+    line, log_date = F.col("value"), F.col("log_date")
+    # Exploding the array of matches finds and extracts in one evaluation of
+    # the pattern; a filter followed by an extraction would need two.
+    username = F.explode(users(line)).alias("username")
+    lines = lines.where(may_be_entry(line))
+
     if low is None and high is None:
-        return entries
-
-    log_date = F.col("log_date")
-    if low is None:
-        in_range = log_date <= F.lit(high)
-    elif high is None:
-        in_range = log_date >= F.lit(low)
-    elif low > high:
-        in_range = F.when(log_date.isNotNull(), F.lit(False))
-    else:
-        # Two comparisons would parse the date of every line twice: Catalyst
-        # moves the test below the match and puts the parsing into it.
-        in_range = (
-            F.width_bucket(
-                F.unix_date(log_date), F.unix_date(F.lit(low)), F.unix_date(F.lit(high)) + 1, F.lit(1)
-            )
-            == 1
-        )
+        return lines.select(username, entry_date(line).alias("log_date"))
+
+    # The date costs less than the pattern, so lines out of bounds go first.
+    in_bounds = reduce(
+        and_,
+        ([log_date >= F.lit(low)] if low else []) + ([log_date <= F.lit(high)] if high else []),
+    )
+    dated = lines.select("value", once(entry_date(line)).alias("log_date"))
     if on_bad_date == "drop":
-        return entries.where(in_range)
+        return dated.where(in_bounds).select(username, "log_date")
 
-    # The range test moves down to the scan, so lines outside the bounds never
-    # meet the pattern. Bad dates pass it; naming the user in the error keeps
-    # the second test above the match, so lines that are no entry cannot fail.
+    # Only after the match is a line without a date known to be an entry. The
+    # error names the user, which keeps the check above the match.
     bad_date = F.raise_error(F.concat(F.lit("no valid date in an entry of user "), "username"))
-    return entries.where(F.coalesce(in_range, F.lit(True))).where(
-        F.when(log_date.isNotNull(), F.lit(True)).otherwise(bad_date.cast("boolean"))
+    return (
+        dated.where(in_bounds | log_date.isNull())
+        .select(username, "log_date")
+        .where(F.when(log_date.isNotNull(), F.lit(True)).otherwise(bad_date.cast("boolean")))
     )
 
 

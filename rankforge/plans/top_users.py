@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.operators.access_log import count_by_user, filter_dates, parse_access_log
+from rankforge.operators.access_log import count_by_user, parse_access_log
 from rankforge.operators.ranking import DEFAULT_LIMIT, rank_counts, top_counts
 from rankforge.sinks import run_path, write_counts
 from rankforge.sources import read_counts, read_lines
@@ -20,7 +20,7 @@ def top_users(
     on_bad_date: str = "fail",
 ) -> DataFrame:
     """``username, n`` of the ``limit`` users with most entries in the bounds."""
-    entries = filter_dates(parse_access_log(lines), date_from, date_to, on_bad_date)
+    entries = parse_access_log(lines, date_from, date_to, on_bad_date)
     return top_counts(count_by_user(entries), limit)
 
 

@@ -10,7 +10,6 @@ from pyspark.errors import AnalysisException, SparkRuntimeException
 from rankforge.operators.access_log import (
     active_user_total,
     count_by_user,
-    filter_dates,
     parse_access_log,
 )
 from rankforge.plans.top_users import top_users
@@ -93,7 +92,7 @@ def entry(day, user="aaaaaaaa"):
 @pytest.mark.parametrize("on_bad_date", ["fail", "drop"])
 def test_bounds_are_inclusive_and_optional(lines, low, high, on_bad_date):
     days = [date(2015, 7, 8) + timedelta(days=i) for i in range(20)]
-    got = rows(filter_dates(parse_access_log(lines(*map(entry, days))), low, high, on_bad_date))
+    got = rows(parse_access_log(lines(*map(entry, days)), low, high, on_bad_date))
     expected = [
         ("aaaaaaaa", d)
         for d in days
