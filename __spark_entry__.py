@@ -50,8 +50,7 @@ from rankforge.sources import (  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 DATE_FROM, DATE_TO = "2024-01-10", "2024-01-20"
-USER = 12  # rates items
-FACTOR_USER = 120  # has a fixed factor vector
+USER = 12  # rates items, and has a fixed factor vector
 OTHER_USER = 7  # asks the model trained for nobody in particular
 UNKNOWN_USER = -1  # rates nothing
 LIMIT = 5
@@ -153,7 +152,7 @@ def _items_file(spark: SparkSession, sf_dir: str, folder: str | None = None) ->
     return fx.write_items_csv(_items(spark, sf_dir), f"{folder}/movies.csv")
 
 
-def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.fixed_factors(fx.table(spark, sf_dir, "embeddings"))
 
 
@@ -196,21 +195,18 @@ def _distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = distinct_candidates(fx.factor_pairs(fx.table(spark, sf_dir, "lineitem")))
-    return _rounded(score_pairs(pairs, *_factors(spark, sf_dir)))
+    factors = _factors(spark, sf_dir)
+    return _rounded(score_pairs(pairs, factors, factors))
 
 
 def _rounded(scored: DataFrame) -> DataFrame:
-    return scored.select(
-        "userId", "movieId", F.round("prediction", 6).alias("score")
-    )
+    return scored.select("userId", "movieId", F.round("prediction", 6).alias("score"))
 
 
 def _recommend_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, items = _factors(spark, sf_dir)
-    pairs = items.select(
-        F.lit(FACTOR_USER).cast("int").alias("userId"), F.col("id").alias("movieId")
-    )
-    scored = _rounded(score_user(pairs, users, items, FACTOR_USER))
+    factors = _factors(spark, sf_dir)
+    pairs = factors.select(F.lit(USER).cast("int").alias("userId"), F.col("id").alias("movieId"))
+    scored = _rounded(score_user(pairs, factors, factors, USER))
     titled = join_items(scored, _items(spark, sf_dir))
     return top_recommendations(titled, score="score")
 
@@ -318,20 +314,20 @@ _ITEMS = """
 """
 _FACTORS = """
     f AS (SELECT CAST(vec_id AS INTEGER) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    uf AS (SELECT id AS userId, v AS u FROM f WHERE id % 10 = 0),
-    itf AS (SELECT id AS movieId, v AS i FROM f WHERE id % 10 <> 0)
+    users AS (SELECT id AS userId, v AS u FROM f),
+    rated AS (SELECT id AS movieId, v AS i FROM f)
 """
 _SCORED_PAIRS = f"""
     WITH {_FACTORS},
-    pairs AS (SELECT DISTINCT CAST(l_suppkey * 10 AS INTEGER) AS userId,
-                     CAST(l_partkey % 700 AS INTEGER) AS movieId FROM lineitem),
+    pairs AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS userId,
+                     CAST(l_partkey AS INTEGER) AS movieId FROM lineitem),
     scored AS (SELECT userId, movieId, round(list_dot_product(u, i), 6) AS score
-               FROM pairs JOIN uf USING (userId) JOIN itf USING (movieId))
+               FROM pairs JOIN users USING (userId) JOIN rated USING (movieId))
 """
 _TOP_RECOMMENDATIONS = f"""
     WITH {_FACTORS}, items AS ({_ITEMS}),
     scored AS (SELECT userId, movieId, round(list_dot_product(u, i), 6) AS score
-               FROM uf CROSS JOIN itf WHERE userId = {FACTOR_USER})
+               FROM users JOIN rated ON userId = {USER})
     SELECT userId, movieId, score, title FROM scored JOIN items USING (movieId)
     ORDER BY score DESC, movieId, title LIMIT 10
 """
