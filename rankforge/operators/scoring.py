@@ -17,14 +17,15 @@ def score_pairs(
     """``userId, movieId, prediction``; pairs with an unknown id drop.
 
     For many users. No side is hinted: AQE broadcasts a factor table when its
-    measured size allows it, and splits the pairs of a hot user or item when
-    it does not, since both joins are plain inner joins.
+    measured size allows it, and splits the pairs of a hot item or user when it
+    does not. The item comes first because titles, when they follow, join on the
+    item too: AQE splits no join whose partitioning the next join relies on.
     """
     users = user_factors.select(F.col("id").alias("userId"), F.col("features").alias("of_user"))
     items = item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("of_item"))
     return (
-        pairs.join(users, "userId")
-        .join(items, "movieId")
+        pairs.join(items, "movieId")
+        .join(users, "userId")
         .select("userId", "movieId", dot(F.col("of_user"), F.col("of_item"), rank).alias("prediction"))
     )
 

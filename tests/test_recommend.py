@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,7 +105,7 @@ def test_pairs_with_unknown_ids_drop(spark):
 
 
 def test_scores_against_brute_force_with_a_hot_user_and_item(spark):
-    """A third of the pairs has one user, a third one item; AQE splits both."""
+    """A third of the pairs has one user, a third one item; AQE splits every join."""
     rng = np.random.default_rng(11)
     n, rank = 6000, 6
     user_vectors = rng.normal(size=(n, rank)).astype(np.float32)
@@ -128,12 +129,17 @@ def test_scores_against_brute_force_with_a_hot_user_and_item(spark):
         spark.conf.set(key, value)
     try:
         scored = score_pairs(distinct_candidates(pairs), table(user_vectors), table(item_vectors), rank)
-        got = {(u, i): p for u, i, p in rows(scored)}
-        executed = scored._jdf.queryExecution().executedPlan().toString()
+        items = items_df(spark, [(i, f"Title {i}") for i in range(n)])
+        titled = join_items(scored, items).select("userId", "movieId", "prediction", "title")
+        got = {}
+        for u, i, p, title in rows(titled):
+            assert title == f"Title {i}" and (u, i) not in got
+            got[u, i] = p
+        executed = titled._jdf.queryExecution().executedPlan().toString()
     finally:
         for key in settings:
             spark.conf.unset(key)
-    assert "skew=true" in executed
+    assert len(re.findall(r"SortMergeJoin\(skew=true\)", executed.split("== Initial Plan ==")[0])) == 3
     assert got.keys() == wanted
     for (u, i), p in got.items():
         expected = float(user_vectors[u].astype(float) @ item_vectors[i].astype(float))
