@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,11 @@ from rankforge.sources import (  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 DATE_FROM, DATE_TO = "2024-01-10", "2024-01-20"
 USER = 12  # rates items, and has a fixed factor vector
-OTHER_USER = 7  # asks the model trained for nobody in particular
+OTHER_USER = 7  # rates items too
 UNKNOWN_USER = -1  # rates nothing
 LIMIT = 5
-# Of the names a run may have; digits alone would test less than they hide.
-RUN_A, RUN_B = "run-a", "run-b"
+EMBEDDING_SIZE = 64
+RUN_A, RUN_B = "0007", "run-b"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -92,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "score_pairs": _score_pairs,
         "recommend_join_items": lambda s, d: join_items(_score_pairs(s, d), _items(s, d)),
         "recommend_top_n": _recommend_top_n,
+        "recommend_fixed_model": lambda s, d: _recommend_fixed_model(s, d, "rated_by_others"),
+        "recommend_fixed_model_unseen": lambda s, d: _recommend_fixed_model(s, d, "unseen"),
         "readback_ranked_counts": lambda s, d: _readback_ranked_counts(s, d, "parquet"),
         "readback_ranked_counts_text": lambda s, d: _readback_ranked_counts(s, d, "text"),
         "readback_recommendations": lambda s, d: _readback_recommendations(s, d, "parquet"),
@@ -211,6 +214,16 @@ def _recommend_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_recommendations(titled, score="score")
 
 
+def _recommend_fixed_model(spark: SparkSession, sf_dir: str, candidates: str) -> DataFrame:
+    # The whole recommendation, with factors that SQL knows as well.
+    factors = _factors(spark, sf_dir)
+    model = SimpleNamespace(userFactors=factors, itemFactors=factors, rank=EMBEDDING_SIZE)
+    result = recommend(
+        model, _ratings(spark, sf_dir), _items(spark, sf_dir), USER, candidates=candidates
+    )
+    return result.withColumn("prediction", F.round("prediction", 6))
+
+
 # Sinks
 
 
@@ -335,6 +348,23 @@ _RATED_BY_OTHERS = f"""
     SELECT DISTINCT CAST({USER} AS INTEGER) AS userId, CAST(l_partkey AS INTEGER) AS movieId
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> {USER}
 """
+_UNSEEN = f"""
+    SELECT CAST({USER} AS INTEGER) AS userId, CAST(p_partkey AS INTEGER) AS movieId
+    FROM part WHERE p_partkey NOT IN (
+        SELECT l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+        WHERE o_custkey = {USER})
+"""
+
+
+def _fixed_model_oracle(candidates: str) -> str:
+    return f"""
+        WITH {_FACTORS}, items AS ({_ITEMS}), candidates AS ({candidates}),
+        scored AS (SELECT userId, movieId, title, list_dot_product(u, i) AS exact
+                   FROM candidates JOIN users USING (userId) JOIN rated USING (movieId)
+                   JOIN items USING (movieId))
+        SELECT userId, movieId, round(exact, 6) AS prediction, title FROM scored
+        ORDER BY exact DESC, movieId, title LIMIT 10
+    """
 
 
 def oracle_sql() -> dict[str, str]:
@@ -360,12 +390,7 @@ def oracle_sql() -> dict[str, str]:
         "items_scan": _ITEMS,
         "candidates_rated_by_others": _RATED_BY_OTHERS,
         "candidates_from_witnesses": _RATED_BY_OTHERS,
-        "candidates_unseen": f"""
-            SELECT CAST({USER} AS INTEGER) AS userId, CAST(p_partkey AS INTEGER) AS movieId
-            FROM part WHERE p_partkey NOT IN (
-                SELECT l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-                WHERE o_custkey = {USER})
-        """,
+        "candidates_unseen": _UNSEEN,
         "distinct_candidates": """
             SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId,
                    CAST(l_partkey AS INTEGER) AS movieId
@@ -377,6 +402,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT userId, movieId, score, title FROM scored JOIN items USING (movieId)
         """,
         "recommend_top_n": _TOP_RECOMMENDATIONS,
+        "recommend_fixed_model": _fixed_model_oracle(_RATED_BY_OTHERS),
+        "recommend_fixed_model_unseen": _fixed_model_oracle(_UNSEEN),
         "readback_ranked_counts": _TOP,
         "readback_ranked_counts_text": _TOP,
         "readback_recommendations": _TOP_RECOMMENDATIONS,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
-# AQE sizes the reduce side from what the maps wrote, so the shuffle width is
-# an upper bound to start from and not a tuning value per data size.
+# The plans rely on AQE: it merges small shuffle partitions, splits hot keys and
+# picks join strategies from measured sizes.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,13 +18,13 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "rankforge", **conf: str) -> SparkSession:
-    """Get or create a session; ``conf`` keys use ``__`` for the dots."""
+def build_session(
+    app_name: str = "rankforge", conf: Mapping[str, str] | None = None
+) -> SparkSession:
+    """Get or create a session with the defaults and ``conf`` on top."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 

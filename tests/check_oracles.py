@@ -53,10 +53,13 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session(
-        spark__master="local[8]",
-        spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false",
+        "check-oracles",
+        {
+            "spark.master": "local[8]",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

@@ -14,11 +14,13 @@ from rankforge.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        spark__master="local[8]",
-        spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        {
+            "spark.master": "local[8]",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
