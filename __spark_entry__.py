@@ -117,7 +117,9 @@ def _lines(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataFra
     return fx.render_access_log(fx.table(spark, sf_dir, "events"), bad_dates)
 
 
-def _entries(spark: SparkSession, sf_dir: str, date_from=None, date_to=None) -> DataFrame:
+def _entries(
+    spark: SparkSession, sf_dir: str, date_from: str | None = None, date_to: str | None = None
+) -> DataFrame:
     return parse_access_log(_lines(spark, sf_dir), date_from, date_to)
 
 

@@ -9,13 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Longer sums outgrow what the JVM compiles as one method, and then run several
+# times slower than the higher-order functions.
+MAX_WRITTEN_OUT = 16
+
+
 def dot(a: Column, b: Column, size: int | None = None) -> Column:
     """Dot product of two arrays, summed in double from the first element on.
 
-    With a known ``size`` the sum is written out, which keeps it inside
+    With a small ``size`` known, the sum is written out, which keeps it inside
     generated code; the higher-order functions are interpreted.
     """
-    if size is None:
+    if size is None or size > MAX_WRITTEN_OUT:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), add)
     terms = [

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,7 +55,7 @@ def write_recommendations(
     return _write(typed, line, path, run_id, fmt)
 
 
-def _write(rows: DataFrame, line, path: str, run_id: str | None, fmt: str) -> str:
+def _write(rows: DataFrame, line: Column, path: str, run_id: str | None, fmt: str) -> str:
     target = run_path(path, run_id)
     if fmt == "parquet":
         rows.write.mode("overwrite").parquet(target)

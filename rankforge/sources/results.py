@@ -6,7 +6,7 @@ them in rank order again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The part file prefix and the text form of a recommendation.
@@ -40,19 +40,20 @@ def read_recommendations(
     """Recommendations written by ``write_recommendations``."""
     rows, run = _read(spark, path, fmt, RECOMMENDATIONS_SCHEMA, all_runs)
     if fmt == "text":
-        def field(group: int, type_: str):
-            return F.regexp_extract("value", RECOMMENDATION_PATTERN, group).cast(type_)
-
         rows = rows.where(F.col("value").rlike(RECOMMENDATION_PATTERN)).select(
-            field(1, "int").alias("userId"),
-            field(2, "int").alias("movieId"),
-            field(3, "double").alias("prediction"),
-            field(4, "string").alias("title"),
+            _field(1).cast("int").alias("userId"),
+            _field(2).cast("int").alias("movieId"),
+            _field(3).cast("double").alias("prediction"),
+            _field(4).alias("title"),
             *run,
         )
     return rows
 
 
+def _field(group: int) -> Column:
+    return F.regexp_extract("value", RECOMMENDATION_PATTERN, group)
+
+
 def _read(
     spark: SparkSession, path: str, fmt: str, schema: str, all_runs: bool
 ) -> tuple[DataFrame, list[str]]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from rankforge.functions.vector import dot
 from rankforge.operators.candidates import (
     distinct_candidates,
     rated_by_others,
@@ -104,6 +105,18 @@ def test_pairs_with_unknown_ids_drop(spark):
         assert rows(score_user(pairs.where("userId = 9"), users, items, 9, rank)) == []
 
 
+@pytest.mark.parametrize("size", [1, 10, 16, 17, 64])
+def test_dot_is_written_out_only_when_short(spark, size):
+    rng = random.Random(size)
+    a, b = ([rng.uniform(-1, 1) for _ in range(size)] for _ in range(2))
+    df = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+    with_size, without = df.select(dot(df.a, df.b, size)), df.select(dot(df.a, df.b))
+    expected = float(np.array(a, np.float32).astype(float) @ np.array(b, np.float32).astype(float))
+    assert rows(with_size)[0][0] == pytest.approx(expected, abs=1e-12)
+    assert rows(without) == rows(with_size)
+    assert ("aggregate(" in with_size._jdf.queryExecution().toString()) == (size > 16)
+
+
 def test_scores_against_brute_force_with_a_hot_user_and_item(spark):
     """A third of the pairs has one user, a third one item; AQE splits every join."""
     rng = np.random.default_rng(11)
