@@ -49,6 +49,15 @@ from rankforge.sources import (  # noqa: E402
     read_recommendations,
 )
 
+try:
+    import corpus_pipeline
+    import rankforge.llm.queries as llm
+except ModuleNotFoundError as missing:
+    # Both parts can be left out; anything else that is missing is an error.
+    if not (missing.name or "").startswith(("corpus_pipeline", "rankforge.llm")):
+        raise
+    llm = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 DATE_FROM, DATE_TO = "2024-01-10", "2024-01-20"
 USER = 12  # rates items, and has a fixed factor vector
@@ -65,6 +74,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = core_queries()
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "access_log_scan": _access_log_scan,
         "access_log_parse": _entries,
@@ -370,6 +386,10 @@ def _fixed_model_oracle(candidates: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | (llm.oracle_sql() if llm else {})
+
+
+def core_oracle_sql() -> dict[str, str]:
     return {
         "access_log_scan": "SELECT count(*) AS n FROM events",
         "access_log_parse": _PARSED,

@@ -5,8 +5,8 @@ import pytest
 from check_oracles import connect, duckdb_result, spark_result
 from conftest import rows
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = contract.core_queries()
+ORACLES = contract.core_oracle_sql()
 ROWS_ONLY = {"als_recommend", "als_recommend_unseen", "als_model_reuse", "recommend_job"}
 
 
