@@ -20,7 +20,7 @@ SAMPLE_DOCS = 4000
 PREFIXES = (3, 4, 5, 6, 7)
 # A term is told apart from chance by its chi-square over the examples; of
 # hundreds of thousands of unrelated terms none comes near it.
-CHI_SQUARE = 40.0
+CHI_SQUARE = 28.0
 MOST_TERMS = 4096
 NEIGHBOURS = 25
 BLOCK = 64
