@@ -17,6 +17,8 @@ from rankforge.session import shared_dir
 # many for each old shard, and more when a block would exceed the bytes.
 BLOCKS_PER_SHARD = 256
 BLOCK_BYTES = 64 << 20
+# Up to so many blocks the plan is broadcast.
+BROADCAST_BLOCKS = 100_000
 # Rows of one output file, give or take a block.
 ROWS_PER_FILE = 8192
 
@@ -184,6 +186,8 @@ def reshard(
     planned = spark.createDataFrame(
         plan, "__old int, __block int, shard int, __file int, __start long, __at long"
     )
+    if len(plan) <= BROADCAST_BLOCKS:  # beyond, blocks are joined by a shuffle
+        planned = F.broadcast(planned)
     order = Window.partitionBy("shard", "__file").orderBy("__at", "__hash")
     (
         keyed.join(planned, ["__old", "__block"])
