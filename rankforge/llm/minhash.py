@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ from rankforge.llm.word_hashes import joined, mix, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # percent
-# A pair at 0.8 meets in none of the bands with a chance of 3 in a million, one
-# at 0.3 meets in some with 7 in 100.
-BANDS, ROWS = 32, 5
+# A pair at 0.8 meets in none of the bands with a chance of 2 in 10,000, one at
+# 0.3 meets in some with 12 in 100.
+BANDS, ROWS = 16, 4
+# Sets of one side of a comparison of what the stars leave, and shingles at once.
+BLOCK, COLUMNS = 512, 4096
 _SIGNATURE = "doc_id long, n long, set_lo long, set_hi long, bands array<long>"
 
 
@@ -165,11 +168,11 @@ def near_duplicates(
     rows. Other columns are not looked at.
 
     Equal sets become one node first, so copies cost nothing further. In each
-    bucket of each band, one member is the centre and is compared with the
-    others, never all with all. That can leave members apart which only link
-    with each other: as long as a bucket holds several components, further
-    members become centres, twice as many in each round, until every one that
-    is left was one. So a pair is missed only if it meets in no band.
+    bucket the member that shares most with others is the centre of a star and
+    is compared with the rest: as many pairs as members. What a bucket holds
+    beyond the component of its centre is then compared with the whole bucket,
+    in blocks of sets, and gives a link for each two components it joins, never
+    the pairs. So a pair is missed only if it meets in no band.
     """
     sigs = stored(signatures(docs, words, bands, rows), "signatures")
     same = ["set_lo", "set_hi", "n"]
@@ -197,53 +200,126 @@ def near_duplicates(
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``key, rep, n`` of the buckets that more than one node is in."""
+    """``key, rep, n, size`` of the buckets that more than one node is in."""
     buckets = nodes.select(F.explode("bands").alias("key"), "rep", "n")
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stored(buckets.join(crowded.select("key"), "key"), "buckets")
+    return stored(buckets.join(crowded, "key"), "buckets")
 
 
 def _linked(docs: DataFrame, members: DataFrame, words: int, threshold: int) -> DataFrame:
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(_sets(wanted.join(reps, "doc_id", "left_semi"), words), "sets")
-    sets = sets.dropDuplicates(["rep"])
-    left = members.withColumn("component", F.col("rep"))
-    links = None
-    centres = 1
-    while True:
-        part = F.pmod(F.xxhash64("rep"), F.lit(centres))
-        chosen = left.groupBy("key", part.alias("part")).agg(F.min("rep").alias("centre"))
-        of = left.select(
-            F.col("key"), F.col("rep").alias("centre"),
-            F.col("n").alias("centre_n"), F.col("component").alias("centre_component"),
-        )
-        picked = chosen.drop("part").join(of, ["key", "centre"])
-        pairs = (
-            left.join(picked, "key")
-            .where(F.col("component") != F.col("centre_component"))
-            .where(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * threshold)
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-            .distinct()
+    sets = _sets(wanted.join(reps, "doc_id", "left_semi"), words)
+    sets = stored(sets.dropDuplicates(["rep"]), "sets")
+    centres = stored(_centres(members), "centres")
+    stars = (
+        members.join(centres, "key")
+        .where(F.col("rep") != F.col("centre"))
+        .where(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * threshold)
+        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        .distinct()
+    )
+    links = stored(_confirmed(stars, sets, threshold), "links")
+    rest = _rest(members, centres, connected_components(links))
+    return links.unionAll(
+        rest.join(sets, "rep")
+        .groupBy("key", "lo", "hi")
+        .applyInArrow(_compare(threshold), "a long, b long")
+    )
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """``key, centre, centre_n``: of each bucket the member with the fullest buckets.
+
+    Copies of one text meet it more often than each other.
+    """
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    best = F.max(F.struct("weight", -F.col("rep"), "n"))
+    top = members.join(weights, "rep").groupBy("key").agg(best.alias("top"))
+    return top.select("key", (-F.col("top")["col2"]).alias("centre"), F.col("top.n").alias("centre_n"))
+
+
+def _rest(members: DataFrame, centres: DataFrame, components: DataFrame) -> DataFrame:
+    """``key, lo, hi, chunk, rep, component``: blocks of the buckets with several components.
+
+    A bucket's nodes outside the component of its centre make the first chunks,
+    the others the chunks behind them. Two chunks meet unless both lie in that
+    component.
+    """
+    def component_of(rows: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(components, F.col(node) == F.col("node"), "left").select(
+            *rows.columns, F.coalesce("component", node).alias(name)
         )
-        fresh = stored(_confirmed(pairs, sets, threshold), "links")
-        links = fresh if links is None else links.unionAll(fresh)
-        tested = chosen.select("key", F.col("centre").alias("rep"))
-        left = left.join(tested, ["key", "rep"], "left_anti").drop("component")
-        components = connected_components(links)
-        left = left.join(components, left["rep"] == components["node"], "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+
+    main = component_of(centres.select("key", "centre"), "centre", "main").select("key", "main")
+    placed = component_of(members, "rep", "component").join(main, "key")
+    apart = F.col("component") != F.col("main")
+    counts = placed.groupBy("key").agg(F.count_if(apart).alias("outer")).where("outer > 0")
+    outer = F.ceil(F.col("outer") / BLOCK).cast("int")
+    inner = F.ceil((F.col("size") - F.col("outer")) / BLOCK).cast("int")
+    spread = F.xxhash64("rep")
+    chunk = F.when(apart, F.pmod(spread, outer)).otherwise(outer + F.pmod(spread, inner))
+    meets = F.when(apart, F.sequence(F.lit(0), outer + inner - 1)).otherwise(F.sequence(F.lit(0), outer - 1))
+    return (
+        placed.join(counts, "key")
+        .select("key", "rep", "component", chunk.cast("int").alias("chunk"), F.explode(meets).alias("other"))
+        .select(
+            "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
+            "chunk", "rep", "component",
         )
-        # Buckets in which all that is left is one component have nothing more to say.
-        live = (
-            left.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high")
+    )
+
+
+def _compare(threshold: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, lo, hi = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        rep = table.column("rep").to_numpy()
+        component = table.column("component").to_numpy()
+        chunk = table.column("chunk").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        row = np.repeat(np.arange(len(rep)), size)
+        code, values = pd.factorize(sets.flatten().to_numpy())
+        common = np.bincount(code, minlength=len(values)) > 1  # others are in no intersection
+        rank = np.cumsum(common) - 1
+        row, code = row[common[code]], rank[code[common[code]]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(common.sum()), COLUMNS):
+            i, j = np.searchsorted(code, (at, at + COLUMNS))
+            holds = np.zeros((len(rep), COLUMNS), np.float32)
+            holds[row[i:j], code[i:j] - at] = 1
+            shared += holds[a] @ holds[b].T
+        union = size[a][:, None] + size[b][None] - shared
+        linked = (shared * 100 >= union * threshold) & (component[a][:, None] != component[b][None])
+        i, j = np.nonzero(linked)
+        i, j = a[i], b[j]
+        pair = np.stack([np.minimum(component[i], component[j]), np.maximum(component[i], component[j])], 1)
+        _, first = np.unique(pair, axis=0, return_index=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        links = []
+        for k in first.tolist():
+            p, q = find(int(component[i[k]])), find(int(component[j[k]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(rep[i[k]]), int(rep[j[k]])))
+        return pa.table(
+            {
+                "a": pa.array([min(p) for p in links], pa.int64()),
+                "b": pa.array([max(p) for p in links], pa.int64()),
+            }
         )
-        left = stored(left.join(live.select("key"), "key", "left_semi"), "buckets")
-        if left.isEmpty():
-            return links
-        centres *= 2
+
+    return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
