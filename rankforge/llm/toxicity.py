@@ -135,6 +135,20 @@ def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, terms array<int>, counts array<int>")
 
 
+def _frequencies(counted: DataFrame, size: int) -> DataFrame:
+    """``term, n``: in how many texts each term is, added up by each task first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
+
+    partial = counted.select("terms").mapInArrow(add, "term long, n long")
+    return partial.groupBy("term").agg(F.sum("n").alias("n"))
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples, in blocks that know the largest weight of each term.
 
@@ -250,7 +264,7 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_
     vocabulary = _telling_terms(examples)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = stored(term_counts(slim, vocabulary), "terms")
-    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
+    frequency = _frequencies(counted, len(vocabulary)).collect()
     total = counted.count()
     judge = _judge(
         term_counts(examples, vocabulary).drop("text").collect(), dict(map(tuple, frequency)), total,
@@ -271,7 +285,9 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_
                 ["doc_id", "score", "evidence"],
             )
 
-    return counted.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    # The table is small and has few files; the search costs more than reading it.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts).mapInArrow(run, "doc_id long, score double, evidence array<long>")
 
 
 def _judge(rows, frequency: dict[int, int], total: int, size: int, share: float) -> Judge:
