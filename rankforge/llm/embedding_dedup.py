@@ -17,8 +17,8 @@ from rankforge.llm.word_hashes import mix
 THRESHOLD = 0.9
 # Each table joins the closest cross-polytope vertices of so many rotations to a
 # bucket. In 64 dimensions a pair at cosine 0.9 meets in no bucket with a chance
-# below 1 in 10,000, measured in tests/llm; unrelated pairs in 1 of a million.
-TABLES, ROTATIONS, PROBES = 10, 3, 2
+# of 3 in 1,000, measured in tests/llm, and a closer pair with less.
+TABLES, ROTATIONS, PROBES = 20, 3, 2
 # Vectors of one side of a comparison task; larger buckets are cut into more.
 BLOCK = 1024
 

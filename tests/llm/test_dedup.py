@@ -1,0 +1,152 @@
+import itertools
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rankforge.llm import embedding_dedup, minhash, queries
+from rankforge.llm.components import connected_components
+from rankforge.llm.embedding_dedup import bucket_keys, hadamard
+from tests_llm import ODD, docs, words  # noqa: F401
+
+
+def groups(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingles(text, k):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if len(found) < k:
+        return {tuple(found)} if found else set()
+    return set(zip(*(found[i:] for i in range(k))))
+
+
+def brute_near(rows, k):
+    sets = {i: shingles(t, k) for i, t in rows}
+    links = [
+        (a, b) for a, b in itertools.combinations(sorted(sets), 2)
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    return {i: (len(sets[i]), c, c == i) for i, c in groups(sets, links).items()}
+
+
+def test_components(spark):
+    links = [(i + 1, i) for i in range(40)] + [(100, 90), (90, 100), (95, 95), (101, 100)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == groups(set(range(41)) | {90, 100, 101}, [l for l in links if l != (95, 95)])
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, sf_dir, k):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(table, words=k).collect()}
+    assert got == brute_near(rows, k)
+
+
+def test_hub_and_chain(spark, docs):
+    """Copies of one text that meet it only, and a chain whose ends are unlike."""
+    base = words(5, 200).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        copy = list(base)
+        for at in range(i % 7, 200, 24):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    chain = words(6, 300).split()
+    for i in range(8):
+        rows.append((2000 + i, " ".join(chain)))
+        chain = chain[12:] + [f"new{i}x{j}" for j in range(12)]
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(docs(rows), words=2).collect()}
+    assert got == brute_near(rows, 2)
+
+
+def test_odd_rows(spark, docs):
+    got = minhash.near_duplicates(docs(ODD), words=2).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        if r.doc_id in (1, 2, 3):
+            assert tuple(r)[1:] == (0, r.doc_id, True)
+        if r.doc_id == 9 or (r.doc_id is None and r.n_shingles):
+            assert r.component_id == 5 and not r.kept
+    kept = minhash.keep_one(docs(ODD))
+    assert kept.columns == docs(ODD).columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 8] and ids.count(None) == 1
+    assert minhash.near_duplicates(docs([]), words=2).collect() == []
+    assert minhash.keep_one(docs([])).collect() == []
+
+
+def test_similar_signatures_agree_like_sets():
+    rng = np.random.default_rng(3)
+    same = []
+    for _ in range(200):
+        shared = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        a = np.concatenate([shared, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])
+        b = np.concatenate([shared, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])
+        same.append((minhash.signature(a, 64) == minhash.signature(b, 64)).mean())
+    assert abs(np.mean(same) - 0.8) < 0.02
+    tiny = [minhash.signature(np.array([n], np.uint64), 64) for n in (1, 2)]
+    assert len(set(tiny[0].tolist())) == 1 and (tiny[0] != tiny[1]).all()
+
+
+def brute_vectors(rows, threshold=0.9):
+    usable = {
+        i: np.array(v, float) for i, v in rows
+        if v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))
+    }
+    links = [
+        (a, b) for a, b in itertools.combinations(sorted(usable), 2)
+        if len(usable[a]) == len(usable[b])
+        and usable[a] @ usable[b] / np.linalg.norm(usable[a]) / np.linalg.norm(usable[b]) >= threshold
+    ]
+    near = groups([i for i, _ in rows], links)
+    return {i: (sum(i in l for l in links), near[i], near[i] == i) for i, _ in rows}
+
+
+def test_vectors_equal_brute_force(spark, sf_dir):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = {r.vec_id: tuple(r)[1:] for r in queries.op3_embedding_dedup(spark, sf_dir).collect()}
+    assert got == brute_vectors(rows)
+
+
+def test_dense_groups_in_blocks_and_odd_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(4):
+        centre = rng.normal(size=64)
+        for _ in range(40):
+            rows.append((len(rows), (centre + rng.normal(size=64) * 0.12).tolist()))
+    nan, inf = float("nan"), float("inf")
+    rows += [(500, None), (501, []), (502, [0.0] * 64), (503, [nan] * 64), (504, [inf] + [0.0] * 63), (505, [None] * 64)]
+    rows += [(600 + i, [1.0, 2.0, 3.0]) for i in range(5)] + [(700, [1e200, 1e200]), (701, [1e-200, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS rep", "1 AS n", "2 AS key")
+    got = {r.vec_id: tuple(r)[1:] for r in embedding_dedup.similar_vectors(df, block=16).collect()}
+    assert got == brute_vectors(rows[:-2]) | {700: (1, 700, True), 701: (1, 700, False)}
+    assert embedding_dedup.similar_vectors(df.limit(0)).collect() == []
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    settings = (embedding_dedup.TABLES, embedding_dedup.ROTATIONS, embedding_dedup.PROBES)
+    x, y = bucket_keys(a, *settings), bucket_keys(b, *settings)
+    met = (x[:, :, None] == y[:, None, :]).any((1, 2))
+    assert met.mean() > 0.995
+    assert np.allclose(hadamard(hadamard(a)), a)
