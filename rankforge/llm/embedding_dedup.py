@@ -17,8 +17,8 @@ from rankforge.llm.word_hashes import mix
 THRESHOLD = 0.9
 # Each table joins the closest cross-polytope vertices of so many rotations to a
 # bucket. In 64 dimensions a pair at cosine 0.9 meets in no bucket with a chance
-# of 3 in 1,000, measured in tests/llm, and a closer pair with less.
-TABLES, ROTATIONS, PROBES = 20, 3, 2
+# of about 13 in 1,000, measured in tests/llm, and a closer pair with less.
+TABLES, ROTATIONS, PROBES = 20, 4, 3
 # Vectors of one side of a comparison task; larger buckets are cut into more.
 BLOCK = 1024
 
@@ -69,7 +69,7 @@ def bucket_keys(vectors: np.ndarray, tables: int, rotations: int, probes: int) -
             loss.append(first - size[rows, top])
         order = np.argsort(np.stack(loss, 1), axis=1, kind="stable")
         for p in range(probes):
-            acc = np.full(n, (dims << 20) + t, np.uint64)
+            acc = mix(np.full(n, (dims << 20) + t, np.uint64))
             for r in range(rotations):
                 swap = (order[:, p - 1] == r) if p else np.zeros(n, bool)
                 acc = mix(acc ^ np.where(swap, second[r], best[r]))
@@ -113,7 +113,7 @@ def _hashed(nodes: DataFrame, tables: int, rotations: int, probes: int) -> DataF
     return nodes.mapInArrow(run, "rep long, copies long, vec array<double>, keys array<long>")
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, probes: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, lo, hi = (k.as_py() for k in key)
         table = table.combine_chunks()
@@ -123,7 +123,8 @@ def _compare(threshold: float):
         vec = table.column("vec").combine_chunks()
         dims = np.zeros(len(rep))
         x = _unit(vec, dims)
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy()
+        keys = keys.reshape(len(rep), -1, probes)  # of each table
         a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
         i, j = np.nonzero(x[a] @ x[b].T >= threshold)
         i, j = a[i], b[j]
@@ -134,11 +135,9 @@ def _compare(threshold: float):
         for at in range(0, len(i), 8192):
             p, q = i[at : at + 8192], j[at : at + 8192]
             # A pair that meets in several buckets counts in the smallest of them.
-            meet = np.where(
-                (keys[p][:, :, None] == keys[q][:, None, :]).any(2),
-                keys[p],
-                np.iinfo(np.int64).max,
-            ).min(1)
+            one, other = keys[p], keys[q]
+            shared = (one[:, :, :, None] == other[:, :, None, :]).any(3)
+            meet = np.where(shared, one, np.iinfo(np.int64).max).min((1, 2))
             p, q = p[meet == bucket], q[meet == bucket]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
@@ -209,7 +208,7 @@ def similar_vectors(
     )
     found = stored(
         blocks.groupBy("key", "lo", "hi").applyInArrow(
-            _compare(threshold), "rep long, n long, root long"
+            _compare(threshold, probes), "rep long, n long, root long"
         ),
         "links",
     )
