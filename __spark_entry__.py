@@ -104,9 +104,14 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidates_from_witnesses": lambda s, d: rated_by_others(
             rating_witnesses(_ratings(s, d)), USER
         ),
+        "candidates_single_rater": lambda s, d: rated_by_others(_single_raters(s, d), USER),
+        "candidates_single_rater_witnesses": lambda s, d: rated_by_others(
+            rating_witnesses(_single_raters(s, d)), USER
+        ),
         "candidates_unseen": lambda s, d: unseen(_items(s, d), _ratings(s, d), USER),
         "distinct_candidates": _distinct_candidates,
         "score_pairs": _score_pairs,
+        "score_pairs_rank10": _score_pairs_rank10,
         "recommend_join_items": lambda s, d: join_items(_score_pairs(s, d), _items(s, d)),
         "recommend_top_n": _recommend_top_n,
         "recommend_fixed_model": lambda s, d: _recommend_fixed_model(s, d, "rated_by_others"),
@@ -203,6 +208,20 @@ def _top_users_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Candidates and scores
 
 
+def _single_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every item has one rater here, so the items of a user alone do matter.
+    return fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("int").alias("userId"),
+        F.col("o_orderkey").cast("int").alias("movieId"),
+    )
+
+
+def _score_pairs_rank10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = distinct_candidates(fx.factor_pairs(fx.table(spark, sf_dir, "lineitem")))
+    factors = _factors(spark, sf_dir).select("id", F.slice("features", 1, 10).alias("features"))
+    return _rounded(score_pairs(pairs, factors, factors, 10))
+
+
 def _distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fx.table(spark, sf_dir, "orders")
     lineitem = fx.table(spark, sf_dir, "lineitem")
@@ -259,14 +278,14 @@ def _readback_recommendations(spark: SparkSession, sf_dir: str, fmt: str) -> Dat
 def _sink_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "counts")
     write_counts(_top_users(spark, sf_dir), path)
-    write_counts(count_by_user(_entries(spark, sf_dir)), path)
-    return read_counts(spark, path)
+    return read_counts(spark, write_counts(count_by_user(_entries(spark, sf_dir)), path))
 
 
 def _sink_run_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "counts")
     write_counts(_top_users(spark, sf_dir), path, RUN_A)
     write_counts(count_by_user(_entries(spark, sf_dir)), path, RUN_B)
+    write_counts(_top_users(spark, sf_dir), path)  # without an id, it leaves the others alone
     return read_counts(spark, path, all_runs=True)
 
 
@@ -366,6 +385,10 @@ _RATED_BY_OTHERS = f"""
     SELECT DISTINCT CAST({USER} AS INTEGER) AS userId, CAST(l_partkey AS INTEGER) AS movieId
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> {USER}
 """
+_SINGLE_RATERS = f"""
+    SELECT DISTINCT CAST({USER} AS INTEGER) AS userId, CAST(o_orderkey AS INTEGER) AS movieId
+    FROM orders WHERE o_custkey <> {USER}
+"""
 _UNSEEN = f"""
     SELECT CAST({USER} AS INTEGER) AS userId, CAST(p_partkey AS INTEGER) AS movieId
     FROM part WHERE p_partkey NOT IN (
@@ -412,6 +435,8 @@ def core_oracle_sql() -> dict[str, str]:
         "items_scan": _ITEMS,
         "candidates_rated_by_others": _RATED_BY_OTHERS,
         "candidates_from_witnesses": _RATED_BY_OTHERS,
+        "candidates_single_rater": _SINGLE_RATERS,
+        "candidates_single_rater_witnesses": _SINGLE_RATERS,
         "candidates_unseen": _UNSEEN,
         "distinct_candidates": """
             SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId,
@@ -419,6 +444,9 @@ def core_oracle_sql() -> dict[str, str]:
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         """,
         "score_pairs": f"{_SCORED_PAIRS} SELECT userId, movieId, score FROM scored",
+        "score_pairs_rank10": _SCORED_PAIRS.replace(
+            "list_dot_product(u, i)", "list_dot_product(u[1:10], i[1:10])"
+        ) + " SELECT userId, movieId, score FROM scored",
         "recommend_join_items": f"""
             {_SCORED_PAIRS}, items AS ({_ITEMS})
             SELECT userId, movieId, score, title FROM scored JOIN items USING (movieId)
@@ -435,6 +463,8 @@ def core_oracle_sql() -> dict[str, str]:
             SELECT username, n, '{RUN_A}' AS run_id FROM ({_TOP})
             UNION ALL
             SELECT username, n, '{RUN_B}' AS run_id FROM ({_COUNTS} GROUP BY 1)
+            UNION ALL
+            SELECT username, n, 'default' AS run_id FROM ({_TOP})
         """,
         "als_factor_coverage": """
             SELECT DISTINCT 'user' AS kind, CAST(o_custkey AS INTEGER) AS id, 10 AS n_features

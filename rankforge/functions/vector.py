@@ -17,14 +17,22 @@ MAX_WRITTEN_OUT = 16
 def dot(a: Column, b: Column, size: int | None = None) -> Column:
     """Dot product of two arrays, summed in double from the first element on.
 
-    With a small ``size`` known, the sum is written out, which keeps it inside
-    generated code; the higher-order functions are interpreted.
+    Arrays of different lengths, or of another length than ``size``, raise; a
+    null array gives null. With a small ``size`` known, the sum is written out,
+    which keeps it inside generated code; the higher-order functions are
+    interpreted. Both forms multiply the same elements.
     """
     if size is None or size > MAX_WRITTEN_OUT:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), add)
-    terms = [
-        F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
-        for i in range(size)
-    ]
-    return reduce(add, terms)
+        total = F.aggregate(products, F.lit(0.0), add)
+    else:
+        terms = [
+            F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
+            for i in range(size)
+        ]
+        total = reduce(add, terms, F.lit(0.0))
+    fits = F.size(a) == (F.size(b) if size is None else F.lit(size))
+    if size is not None:
+        fits &= F.size(b) == F.lit(size)
+    unfit = F.raise_error(F.lit("vectors of different lengths in a dot product")).cast("double")
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(fits, total).otherwise(unfit)

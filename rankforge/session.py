@@ -35,10 +35,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     machine only serves a local master; elsewhere the setting is required.
     """
     sc = spark.sparkContext
+    base = checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder; from here on Spark's own checkpoints go there too."""
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="rankforge-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return base

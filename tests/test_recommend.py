@@ -290,3 +290,32 @@ def test_recommend_job(spark, trained, tmp_path, fmt):
         expected = brute_force(trained, 5, candidates, 4)
         assert [r[1] for r in rows(served)] == [r[1] for r in expected]
     assert rows(run_recommend(spark, str(tmp_path), output, "run-3", 999999, recommender=recommender, fmt=fmt)) == []
+
+
+@pytest.mark.parametrize("size", [None, 10, 16, 17, 64])
+def test_dot_has_one_behaviour_for_all_sizes(spark, size):
+    from rankforge.functions.vector import dot
+    from pyspark.sql import functions as F
+
+    n = size or 20
+
+    def run(a, b):
+        df = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+        return df.select(dot(F.col("a"), F.col("b"), size)).first()[0]
+
+    assert run([1.0] * n, [2.0] * n) == 2.0 * n
+    assert run(None, [2.0] * n) is None
+    for other in (n - 1, n + 1):
+        with pytest.raises(Exception, match="different lengths"):
+            run([1.0] * n, [1.0] * other)
+    if size:
+        with pytest.raises(Exception, match="different lengths"):
+            run([1.0] * (n + 4), [1.0] * (n + 4))
+
+
+def test_blocks_do_not_depend_on_the_machine():
+    from rankforge.plans import recommend as plan
+
+    import inspect
+
+    assert inspect.signature(plan.train_recommender).parameters["num_blocks"].default == 16

@@ -168,8 +168,8 @@ def test_null_title_survives_the_text_form(spark):
 def test_a_write_replaces_the_path(spark, fmt):
     path = shared_dir(spark, "t")
     write_counts(counts_df(spark), path, fmt=fmt)
-    write_counts(counts_df(spark, [("dddddddd", 1)]), path, fmt=fmt)
-    assert rows(read_counts(spark, path, fmt)) == [("dddddddd", 1)]
+    written = write_counts(counts_df(spark, [("dddddddd", 1)]), path, fmt=fmt)
+    assert rows(read_counts(spark, written, fmt)) == [("dddddddd", 1)]
     write_counts(counts_df(spark).limit(0), path, fmt=fmt)
     assert rows(read_counts(spark, path, fmt)) == []
 
@@ -188,7 +188,7 @@ def test_runs_are_kept_apart(spark, fmt):
 
 
 def test_run_path():
-    assert run_path("/out") == "/out"
+    assert run_path("/out") == "/out/run_id=default"
     assert run_path("/out/", "a.b-c_1") == "/out/run_id=a.b-c_1"
     for bad in ("", "a/b", "..=/"):
         with pytest.raises(ValueError):
@@ -230,3 +230,17 @@ def test_typed_bounds_in_the_job(spark, tmp_path):
         spark, str(tmp_path / "access.log"), shared_dir(spark, "t"), date_to=date(2015, 7, 12)
     )
     assert rows(result) == []
+
+
+def test_a_run_without_an_id_leaves_the_others(spark):
+    path = shared_dir(spark, "t")
+    write_counts(counts_df(spark), path, "r1")
+    write_counts(counts_df(spark, [("dddddddd", 1)]), path)
+    assert {r[2] for r in rows(read_counts(spark, path, all_runs=True))} == {"r1", "default"}
+
+
+@pytest.mark.parametrize("values", ["1, 2, 0.5, 'a\\nb'", "null, 2, 0.5, 'a'", "1, 2, null, 'a'"])
+def test_text_rows_that_cannot_be_read_back_raise(spark, values):
+    df = spark.sql(f"SELECT * FROM VALUES ({values}) AS t(userId, movieId, prediction, title)")
+    with pytest.raises(Exception, match="one line of text"):
+        write_recommendations(df, shared_dir(spark, "t"), fmt="text")
