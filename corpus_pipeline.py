@@ -42,7 +42,7 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, with digests of the ids and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
-    tokens = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    tokens = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return tokens.select(
         "doc_id",
         "n_tokens",

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import heapq
 import itertools
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ NONE = np.int32(np.iinfo(np.int32).max)
 WIDEST = 256
 MATRIX_CELLS = 1 << 20
 # Units whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,13 +80,10 @@ class PairTable:
         return out.reshape(shape)
 
 
-class Encoder:
-    """Ids of pieces, and bytes of ids. Ids are ranks."""
+class Decoder:
+    """Bytes of ids. Ids are ranks."""
 
     def __init__(self, ranks: Mapping[bytes, int]):
-        self.ranks = ranks
-        self.pairs = PairTable(ranks)
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -95,6 +92,20 @@ class Encoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        return gather(self.bytes, self.starts[ids], self.lengths[ids])
+
+
+class Encoder(Decoder):
+    """Ids of pieces, too."""
+
+    def __init__(self, ranks: Mapping[bytes, int]):
+        super().__init__(ranks)
+        self.ranks = ranks
+        self.pairs = PairTable(ranks)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has: its own rank, or merged from its bytes."""
         whole = np.fromiter(
@@ -199,10 +210,6 @@ class Encoder:
     def _tokens(self):
         return lambda t: self.bytes[self.starts[t] : self.starts[t] + self.lengths[t]].tobytes()
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one after the other."""
-        return gather(self.bytes, self.starts[ids], self.lengths[ids])
-
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``values[start : start + length]`` of each, joined."""
@@ -323,6 +330,39 @@ def _mark(ranks: Mapping[bytes, int]) -> str:
     return whole.hexdigest()
 
 
+def _with_ids(batch: pa.RecordBatch, worker: _Worker) -> pa.RecordBatch:
+    ids = worker.encode(texts_of(batch))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id"),
+            pa.array([len(i) // 4 for i in ids], pa.int64()),
+            pa.array(ids, pa.binary()),
+        ],
+        ["doc_id", "n_tokens", "ids"],
+    )
+
+
+def _with_bytes(batch: pa.RecordBatch, decoder: Decoder) -> pa.RecordBatch:
+    ids = [np.frombuffer(i or b"", "<u4").astype(np.int64) for i in batch.column("ids").to_pylist()]
+    decoded = [decoder.decode(i).tobytes() for i in ids]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(decoded, pa.binary())],
+        ["doc_id", "n_tokens", "ids", "decoded"],
+    )
+
+
+_IDS = "doc_id long, n_tokens long, ids binary"
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _workers(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str) -> Callable[[], _Worker]:
+    shared, mark = docs.sparkSession.sparkContext.broadcast(dict(ranks)), _mark(ranks)
+    return lambda: _cached((mark, pattern), lambda: _Worker(Encoder(shared.value), pattern))
+
+
 def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids as little-endian unsigned 32-bit integers.
 
@@ -331,40 +371,34 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str) -> DataFra
     tokens. Rows stay, also repeated ones and such with a null doc_id. Other
     columns are not looked at. The ranks are broadcast; they are a fixed file.
     """
-    shared, mark = docs.sparkSession.sparkContext.broadcast(dict(ranks)), _mark(ranks)
+    worker = _workers(docs, ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _cached((mark,), lambda: Encoder(shared.value))
-        worker = _cached((mark, pattern), lambda: _Worker(encoder, pattern))
+        mine = worker()
         for batch in slices(batches):
-            ids = worker.encode(texts_of(batch))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                ["doc_id", "n_tokens", "ids"],
-            )
+            yield _with_ids(batch, mine)
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _slim(docs).mapInArrow(run, _IDS)
 
 
 def decode(tokens: DataFrame, ranks: Mapping[bytes, int]) -> DataFrame:
     """Add ``decoded`` (binary) to ``doc_id, n_tokens, ids``; null ids give no bytes."""
-    shared, mark = tokens.sparkSession.sparkContext.broadcast(dict(ranks)), _mark(ranks)
+    shared = tokens.sparkSession.sparkContext.broadcast(Decoder(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _cached((mark,), lambda: Encoder(shared.value))
         for batch in slices(batches, "ids"):
-            ids = [np.frombuffer(i or b"", "<u4").astype(np.int64) for i in batch.column("ids").to_pylist()]
-            decoded = [encoder.decode(i).tobytes() for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(decoded, pa.binary())],
-                ["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            yield _with_bytes(batch, shared.value)
 
-    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary, decoded binary"
-    )
+    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"{_IDS}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str) -> DataFrame:
+    """``decode(encode(docs))`` in one task: half the processes hold the tables."""
+    worker = _workers(docs, ranks, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = worker()
+        for batch in slices(batches):
+            yield _with_bytes(_with_ids(batch, mine), mine.encoder)
+
+    return _slim(docs).mapInArrow(run, f"{_IDS}, decoded binary")

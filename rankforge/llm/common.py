@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankforge.session import shared_dir
 
 SLICE_ROWS = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text"
 ) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds a few MB of text.
+    """Cut record batches so that a slice holds a MB of text at most.
 
     A longer text is a slice of its own, so memory follows the longest text and
     not the batch.

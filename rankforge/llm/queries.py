@@ -114,7 +114,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     docs = table(spark, sf_dir, "documents")
-    tokens = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    tokens = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return tokens.select(
         "doc_id",
         "n_tokens",

@@ -45,7 +45,10 @@ def test_bpe_rows(spark, docs):
     got = bpe.decode(bpe.encode(docs(ODD), RANKS, public_tokenizers.PATTERN), RANKS).collect()
     want = [(i, len(KNOWN.encode_ordinary(t or "")), (t or "").encode()) for i, t in ODD]
     assert sorted(((r.doc_id, r.n_tokens, bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
-    assert bpe.encode(docs([]), RANKS, public_tokenizers.PATTERN).collect() == []
+    at_once = bpe.round_trip(docs(ODD), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
+    for empty in (bpe.encode, bpe.round_trip):
+        assert empty(docs([]), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
 def test_language(spark, sf_dir, docs):
