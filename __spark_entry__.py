@@ -29,9 +29,13 @@ from rankforge.operators.candidates import (  # noqa: E402
     rating_witnesses,
     unseen,
 )
+from rankforge.operators.optimality import user_optimality  # noqa: E402
 from rankforge.operators.ranking import top_recommendations  # noqa: E402
 from rankforge.operators.scoring import join_items, score_pairs, score_user  # noqa: E402
 from rankforge.plans.recommend import (  # noqa: E402
+    ALPHA,
+    LAMBDA,
+    RANK,
     load_recommender,
     recommend,
     run_recommend,
@@ -65,6 +69,7 @@ OTHER_USER = 7  # rates items too
 UNKNOWN_USER = -1  # rates nothing
 LIMIT = 5
 EMBEDDING_SIZE = 64
+LATE_DATE = "31/Feb/2024"  # read as the 29th
 RUN_A, RUN_B = "0007", "run-b"
 
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "access_log_scan": _access_log_scan,
+        "access_log_lines": lambda s, d: read_lines(s, _log_dir(s, d)),
         "access_log_parse": _entries,
         "access_log_date_from": lambda s, d: _entries(s, d, date_from=DATE_FROM),
         "access_log_date_to": lambda s, d: _entries(s, d, date_to=DATE_TO),
@@ -93,6 +99,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "access_log_bad_dates_dropped": lambda s, d: parse_access_log(
             _lines(s, d, bad_dates=True), DATE_FROM, DATE_TO, on_bad_date="drop"
         ),
+        "access_log_clamped_dates": lambda s, d: parse_access_log(
+            _lines(s, d, bad_dates=True, bad_date=LATE_DATE), DATE_FROM, on_bad_date="clamp"
+        ),
         "user_activity_counts": lambda s, d: count_by_user(_entries(s, d)),
         "active_user_total": lambda s, d: active_user_total(_entries(s, d)),
         "top_users": _top_users,
@@ -126,7 +135,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "als_scored_items": _als_scored_items,
         "als_recommend": _als_recommend,
         "als_recommend_unseen": _als_recommend_unseen,
+        "als_user_optimality": _als_user_optimality,
         "als_model_reuse": _als_model_reuse,
+        "als_model_reuse_scores": _als_model_reuse_scores,
         "recommend_job": _recommend_job,
     }
 
@@ -134,8 +145,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Inputs
 
 
-def _lines(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataFrame:
-    return fx.render_access_log(fx.table(spark, sf_dir, "events"), bad_dates)
+def _lines(
+    spark: SparkSession, sf_dir: str, bad_dates: bool = False, bad_date: str = fx.BAD_DATE
+) -> DataFrame:
+    return fx.render_access_log(fx.table(spark, sf_dir, "events"), bad_dates, bad_date)
 
 
 def _entries(
@@ -335,6 +348,31 @@ def _als_model_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionAll(second).unionAll(third)
 
 
+def _als_user_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = _ratings_table(spark, sf_dir)
+    model = train_recommender(ratings).model
+    return user_optimality(ratings, model.userFactors, model.itemFactors, RANK, LAMBDA, ALPHA)
+
+
+def _als_model_reuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "recommender")
+    first = train_recommender(_ratings_table(spark, sf_dir), path)
+    again = load_recommender(spark, path)
+    items = _items(spark, sf_dir)
+    key = ["userId", "movieId", "title"]
+
+    def compared(user: int) -> DataFrame:
+        one, two = (
+            score_candidates(r.model, r.raters, items, user).withColumnRenamed("prediction", name)
+            for r, name in ((first, "one"), (again, "two"))
+        )
+        same = F.col("one") == F.col("two")
+        return one.join(two, key).select(*key, same.alias("same_score"))
+
+    known = compared(USER).unionAll(compared(OTHER_USER))
+    return known.unionAll(compared(UNKNOWN_USER))
+
+
 def _recommend_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "recommend-job")
     _ratings_file(spark, sf_dir, f"{folder}/input")
@@ -389,6 +427,9 @@ _SINGLE_RATERS = f"""
     SELECT DISTINCT CAST({USER} AS INTEGER) AS userId, CAST(o_orderkey AS INTEGER) AS movieId
     FROM orders WHERE o_custkey <> {USER}
 """
+_OTHERS_OF_OTHER_USER = _RATED_BY_OTHERS.replace(f"CAST({USER} AS", f"CAST({OTHER_USER} AS").replace(
+    f"<> {USER}", f"<> {OTHER_USER}"
+)
 _UNSEEN = f"""
     SELECT CAST({USER} AS INTEGER) AS userId, CAST(p_partkey AS INTEGER) AS movieId
     FROM part WHERE p_partkey NOT IN (
@@ -415,6 +456,13 @@ def oracle_sql() -> dict[str, str]:
 def core_oracle_sql() -> dict[str, str]:
     return {
         "access_log_scan": "SELECT count(*) AS n FROM events",
+        "access_log_lines": f"""
+            SELECT strftime(ts, '[%d/%b/%Y:%H:%M:%S] ') || event_type || CASE event_type
+                WHEN 'view' THEN ' username=''decoy000'' username=''' || {_UNAME} || ''''
+                WHEN 'signup' THEN ' username=''' || lpad(CAST(user_id AS VARCHAR), 9, '0') || ''''
+                WHEN 'error' THEN '' ELSE ' username=''' || {_UNAME} || '''' END AS value
+            FROM events
+        """,
         "access_log_parse": _PARSED,
         "access_log_date_from": f"{_PARSED} AND {_DATE} >= DATE '{DATE_FROM}'",
         "access_log_date_to": f"{_PARSED} AND {_DATE} <= DATE '{DATE_TO}'",
@@ -424,6 +472,10 @@ def core_oracle_sql() -> dict[str, str]:
             WHERE event_type <> 'signup' GROUP BY 1
         """,
         "access_log_bad_dates_dropped": f"{_PARSED} AND {_BETWEEN}",
+        "access_log_clamped_dates": f"""
+            {_PARSED} AND {_DATE} >= DATE '{DATE_FROM}' UNION ALL
+            SELECT {_UNAME}, DATE '2024-02-29' FROM events WHERE event_type = 'error'
+        """,
         "user_activity_counts": f"{_COUNTS} GROUP BY 1",
         "active_user_total": f"""
             SELECT count(DISTINCT {_UNAME}) AS n_users FROM events WHERE {_VALID}
@@ -473,6 +525,16 @@ def core_oracle_sql() -> dict[str, str]:
             SELECT DISTINCT 'item' AS kind, CAST(l_partkey AS INTEGER) AS id, 10 AS n_features
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         """,
+        "als_user_optimality": """
+            SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId, TRUE AS converged
+            FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+        """,
+        "als_model_reuse_scores": f"""
+            WITH items AS ({_ITEMS}),
+            candidates AS ({_RATED_BY_OTHERS} UNION ALL {_OTHERS_OF_OTHER_USER})
+            SELECT userId, movieId, title, TRUE AS same_score
+            FROM candidates JOIN items USING (movieId)
+        """,
         "als_scored_items": f"""
             WITH items AS ({_ITEMS}), candidates AS ({_RATED_BY_OTHERS})
             SELECT userId, movieId, title, TRUE AS scored

@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def render_access_log(events: DataFrame, bad_dates: bool = False) -> DataFrame:
+def render_access_log(
+    events: DataFrame, bad_dates: bool = False, bad_date: str = BAD_DATE
+) -> DataFrame:
     """One log line ``value`` per event.
 
     Clicks, purchases and views name their user, views after a decoy. Sign-ups
     carry a name one character too long. Errors name nobody; with ``bad_dates``
-    they name their user under a date that does not exist.
+    they name their user under ``bad_date``, which does not exist.
     """
     user = F.col("user_id").cast("string")
     name = F.lpad(user, 8, "0")
@@ -36,7 +38,7 @@ def render_access_log(events: DataFrame, bad_dates: bool = False) -> DataFrame:
         .otherwise(mention(name) if bad_dates else F.lit(""))
     )
     if bad_dates:
-        stamp = F.when(kind == "error", F.lit(f"{BAD_DATE}:00:00:00")).otherwise(stamp)
+        stamp = F.when(kind == "error", F.lit(f"{bad_date}:00:00:00")).otherwise(stamp)
     line = F.concat(F.lit("["), stamp, F.lit("] "), kind, rest)
     # As from a scan: operators that look at a line do not render it again.
     return events.select(once(line).alias("value"))

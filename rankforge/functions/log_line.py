@@ -10,6 +10,7 @@ ENTRY_PATTERN = r"^\[([0-9]{2}/[A-Za-z]{3}/[0-9]{4}).+username='([A-Za-z0-9]{8})
 ENTRY_START = "["
 USER_MARK = "username='"
 DATE_FORMAT = "dd/MMM/yyyy"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 USER_GROUP = 2
 
 
@@ -38,3 +39,18 @@ def entry_date(line: Column) -> Column:
     regular expression is needed for it.
     """
     return F.try_to_date(F.substring(line, 2, 11), DATE_FORMAT)
+
+
+def clamped_date(line: Column) -> Column:
+    """``entry_date``, but a day up to 31 that its month lacks is the month's last.
+
+    Month names count in their exact case only.
+    """
+    day = F.substring(line, 2, 2).try_cast("int")
+    year = F.substring(line, 9, 4).try_cast("int")
+    # A name sits at every third place; three letters elsewhere are none.
+    at = F.position(F.substring(line, 5, 3), F.lit(MONTHS))
+    month = F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
+    first = F.when(year >= 1, F.make_date(year, month, F.lit(1)))
+    last = F.dayofmonth(F.last_day(first))
+    return F.when(day.between(1, 31), F.date_add(first, F.least(day, last) - 1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.evaluation import once
-from rankforge.functions.log_line import entry_date, may_be_entry, users
+from rankforge.functions.log_line import clamped_date, entry_date, may_be_entry, users
 
 
 def parse_access_log(
@@ -24,10 +24,13 @@ def parse_access_log(
     The bounds are inclusive and each is optional. Only with a bound do entries
     without a valid date matter: they fail the query, or are dropped with
     ``on_bad_date="drop"``. Without one their ``log_date`` is NULL, and dates
-    are not parsed unless something downstream uses them.
+    are not parsed unless something downstream uses them. ``"clamp"`` reads the
+    31st of February as its last day, wants month names in their exact case, and
+    fails on what is no date then.
     """
-    if on_bad_date not in ("fail", "drop"):
-        raise ValueError(f"on_bad_date must be fail or drop, not {on_bad_date!r}")
+    if on_bad_date not in ("fail", "drop", "clamp"):
+        raise ValueError(f"on_bad_date must be fail, drop or clamp, not {on_bad_date!r}")
+    date_of = clamped_date if on_bad_date == "clamp" else entry_date
     low, high = _as_date(date_from), _as_date(date_to)
     line, log_date = F.col("value"), F.col("log_date")
     # Exploding the array of matches finds and extracts in one evaluation of
@@ -36,14 +39,14 @@ def parse_access_log(
     lines = lines.where(may_be_entry(line))
 
     if low is None and high is None:
-        return lines.select(username, entry_date(line).alias("log_date"))
+        return lines.select(username, date_of(line).alias("log_date"))
 
     # The date costs less than the pattern, so lines out of bounds go first.
     in_bounds = reduce(
         and_,
         ([log_date >= F.lit(low)] if low else []) + ([log_date <= F.lit(high)] if high else []),
     )
-    dated = lines.select("value", once(entry_date(line)).alias("log_date"))
+    dated = lines.select("value", once(date_of(line)).alias("log_date"))
     if on_bad_date == "drop":
         return dated.where(in_bounds).select(username, "log_date")
 

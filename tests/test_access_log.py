@@ -120,6 +120,28 @@ def test_bad_date_matters_only_with_a_bound(spark, lines, bounds, ansi):
         spark.conf.unset("spark.sql.ansi.enabled")
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_clamped_dates(spark, lines, ansi):
+    texts = {
+        "31/Feb/2015": date(2015, 2, 28), "29/Feb/2016": date(2016, 2, 29), "31/Apr/2015": date(2015, 4, 30),
+        "31/Dec/2015": date(2015, 12, 31), "01/Jan/2015": date(2015, 1, 1), "13/jul/2015": None,
+        "32/Jul/2015": None, "00/Jul/2015": None, "13/anF/2015": None, "13/Foo/2015": None, "13/Jul/0000": None,
+    }
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        log = lines(*[f"[{text}: username='cccccccc'" for text in texts])
+        assert [r[1] for r in rows(parse_access_log(log, on_bad_date="clamp"))] == list(texts.values())
+        for text, day in texts.items():
+            one = parse_access_log(lines(f"[{text}: username='cccccccc'", "[", "[x"), "2015-01-01", "2016-12-31", "clamp")
+            if day:
+                assert rows(one) == [("cccccccc", day)]
+            else:
+                with pytest.raises(SparkRuntimeException, match="no valid date"):
+                    one.collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_bad_date_of_a_line_that_is_no_entry_is_ignored(lines):
     log = lines("[13/Foo/2015: username='short'", "[99/Jul/2015: nobody", "[", "[13", entry(DAY))
     assert rows(top_users(log, "2015-07-01", "2015-07-31")) == [("aaaaaaaa", 1)]

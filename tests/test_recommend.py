@@ -197,6 +197,18 @@ def test_user_factors_solve_the_implicit_least_squares_problem(trained):
         assert np.allclose(x, np.linalg.solve(left, right), atol=2e-3)
 
 
+@pytest.mark.parametrize("change, converged", [({}, True), ({"regularization": 0.1}, False), ({"alpha": 2.0}, False)])
+def test_optimality_knows_the_parameters(trained, change, converged):
+    from rankforge.operators.optimality import user_optimality
+
+    data, _, ratings, _, recommender, _ = trained
+    settings = {"rank": 10, "regularization": 0.01, "alpha": 1.0} | change
+    model = recommender.model
+    got = dict(rows(user_optimality(ratings, model.userFactors, model.itemFactors, **settings)))
+    assert got.keys() == {u for u, _, _ in data}
+    assert set(got.values()) == {converged}
+
+
 def test_model_parameters():
     assert (plan.RANK, plan.ITERATIONS, plan.LAMBDA, plan.ALPHA) == (10, 5, 0.01, 1.0)
 
