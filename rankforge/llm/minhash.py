@@ -23,7 +23,10 @@ THRESHOLD = 80  # percent
 BANDS, ROWS = 16, 4
 # Sets of one side of a comparison of what the stars leave, and shingles at once.
 BLOCK, COLUMNS = 512, 4096
-_SIGNATURE = "doc_id long, n long, set_lo long, set_hi long, bands array<long>"
+# A set's parity bits: as many as shingles, to the next power of two, in these bounds.
+PARITY_BITS = 64, 1 << 16
+_SIGNATURE = "doc_id long, n long, set_lo long, set_hi long, bands array<long>, parity binary"
+_BLOCK_ROW = "key long, lo int, hi int, chunk int, rep long, component long"
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -101,17 +104,41 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of a power of two of parts: whether an odd number of hashes lie in it.
+
+    What two sets share cancels, so bits that differ are at most as many as the
+    shingles that one of the sets has alone.
+    """
+    fewest, most = PARITY_BITS
+    bits = min(max(1 << (max(len(shingles), 1) - 1).bit_length(), fewest), most)
+    part = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(part, minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The parity bits of the same set in fewer parts."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _can_link(differ, n, other_n, threshold: int):
+    """Whether sets of these sizes with so many shingles apart can be similar enough."""
+    return differ * (100 + threshold) <= (n + other_n) * (100 - threshold)
+
+
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n, set_lo, set_hi, bands``: set size, 128 bits of the set, band keys."""
+    """``doc_id, n, set_lo, set_hi, bands, parity``: set size, 128 bits of the set, band keys, parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, lo, hi, keys = [], [], [], []
+            n, lo, hi, keys, odd = [], [], [], [], []
             for s in shingle_sets(texts_of(batch), words):
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
                 n.append(len(s))
                 lo.append(int(digest[0]))
                 hi.append(int(digest[1]))
+                odd.append(parity(s))
                 keys.append(
                     band_keys(signature(s, bands * rows), bands, rows).view(np.int64)
                     if len(s)
@@ -124,8 +151,9 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                     pa.array(lo, pa.int64()),
                     pa.array(hi, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(odd, pa.binary()),
                 ],
-                ["doc_id", "n", "set_lo", "set_hi", "bands"],
+                ["doc_id", "n", "set_lo", "set_hi", "bands", "parity"],
             )
 
     return _slim(docs).mapInArrow(run, _SIGNATURE)
@@ -172,24 +200,31 @@ def near_duplicates(
     is compared with the rest: as many pairs as members. What a bucket holds
     beyond the component of its centre is then compared with the whole bucket,
     in blocks of sets, and gives a link for each two components it joins, never
-    the pairs. So a pair is missed only if it meets in no band.
+    the pairs. Before sets are compared, parity bits rule out pairs that cannot
+    be similar enough. So a pair is missed only if it meets in no band.
     """
     sigs = stored(signatures(docs, words, bands, rows), "signatures")
     same = ["set_lo", "set_hi", "n"]
     nodes = stored(
         sigs.where(F.col("n") > 0)
         .groupBy(*same)
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("bands").alias("bands"),
+            F.first("parity").alias("parity"),
+        ),
         "nodes",
     )
-    members = _shared_buckets(nodes.where(F.col("rep").isNotNull()))
-    links = _linked(docs, members, words, threshold)
+    named = nodes.where(F.col("rep").isNotNull())
+    members = _shared_buckets(named)
+    sketches = named.select("rep", F.col("n").alias("set_n"), "parity").dropDuplicates(["rep"])
+    links = _linked(docs, members, sketches, words, threshold)
     components = connected_components(links)
     found = nodes.join(components, nodes["rep"] == components["node"], "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")
     )
     # A set of a third of all rows is one row on this side; AQE splits the other.
-    out = sigs.drop("bands").join(found, same, "left")
+    out = sigs.drop("bands", "parity").join(found, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id",
@@ -206,11 +241,9 @@ def _shared_buckets(nodes: DataFrame) -> DataFrame:
     return stored(buckets.join(crowded, "key"), "buckets")
 
 
-def _linked(docs: DataFrame, members: DataFrame, words: int, threshold: int) -> DataFrame:
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = _sets(wanted.join(reps, "doc_id", "left_semi"), words)
-    sets = stored(sets.dropDuplicates(["rep"]), "sets")
+def _linked(
+    docs: DataFrame, members: DataFrame, sketches: DataFrame, words: int, threshold: int
+) -> DataFrame:
     centres = stored(_centres(members), "centres")
     stars = (
         members.join(centres, "key")
@@ -219,10 +252,20 @@ def _linked(docs: DataFrame, members: DataFrame, words: int, threshold: int) ->
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         .distinct()
     )
+    stars = stored(_plausible(stars, sketches, threshold), "stars")
+    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Repeated ids go where the join has put the rows, not in a shuffle of sets.
+    wanted = wanted.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(_sets(wanted, words), "sets")
     links = stored(_confirmed(stars, sets, threshold), "links")
     rest = _rest(members, centres, connected_components(links))
+    close = (
+        rest.join(sketches, "rep").groupBy("key", "lo", "hi").applyInArrow(_close(threshold), _BLOCK_ROW)
+    )
     return links.unionAll(
-        rest.join(sets, "rep")
+        stored(close, "blocks")
+        .join(sets, "rep")
         .groupBy("key", "lo", "hi")
         .applyInArrow(_compare(threshold), "a long, b long")
     )
@@ -244,7 +287,7 @@ def _rest(members: DataFrame, centres: DataFrame, components: DataFrame) -> Data
 
     A bucket's nodes outside the component of its centre make the first chunks,
     the others the chunks behind them. Two chunks meet unless both lie in that
-    component.
+    component. A bucket of two has met in its star.
     """
     def component_of(rows: DataFrame, node: str, name: str) -> DataFrame:
         return rows.join(components, F.col(node) == F.col("node"), "left").select(
@@ -252,7 +295,7 @@ def _rest(members: DataFrame, centres: DataFrame, components: DataFrame) -> Data
         )
 
     main = component_of(centres.select("key", "centre"), "centre", "main").select("key", "main")
-    placed = component_of(members, "rep", "component").join(main, "key")
+    placed = component_of(members.where("size > 2"), "rep", "component").join(main, "key")
     apart = F.col("component") != F.col("main")
     counts = placed.groupBy("key").agg(F.count_if(apart).alias("outer")).where("outer > 0")
     outer = F.ceil(F.col("outer") / BLOCK).cast("int")
@@ -270,6 +313,36 @@ def _rest(members: DataFrame, centres: DataFrame, components: DataFrame) -> Data
     )
 
 
+def _close(threshold: int):
+    """The rows of a block that can be similar enough to one of another component, by parity bits."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, lo, hi = (k.as_py() for k in key)
+        component, chunk, n = (table.column(c).to_numpy() for c in ("component", "chunk", "set_n"))
+        sketches = table.column("parity").to_pylist()
+        length = np.array([len(s) for s in sketches])
+        close = np.zeros(len(n), bool)
+        for size in np.unique(length).tolist():
+            # Pairs meet in the parts of the smaller set.
+            at = np.flatnonzero(length >= size)
+            bits = np.stack([_folded(sketches[i], size) for i in at.tolist()])
+            for k in np.flatnonzero(length[at] == size).tolist():
+                i = at[k]
+                other = (component[at] != component[i]) & (
+                    np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * threshold
+                )
+                if lo != hi:
+                    other &= chunk[at] != chunk[i]
+                j = np.flatnonzero(other)
+                differ = np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                j = at[j[_can_link(differ, n[at[j]], n[i], threshold)]]
+                close[j] = True
+                close[i] |= len(j) > 0
+        return table.select(["key", "lo", "hi", "chunk", "rep", "component"]).filter(pa.array(close))
+
+    return run
+
+
 def _compare(threshold: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, lo, hi = (k.as_py() for k in key)
@@ -322,6 +395,27 @@ def _compare(threshold: int):
     return run
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` that parity bits do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.zeros(len(batch), np.int64)
+            of_a, of_b = (batch.column(c).to_pylist() for c in ("parity_a", "parity_b"))
+            for i, (x, y) in enumerate(zip(of_a, of_b)):
+                size = min(len(x), len(y))
+                differ[i] = np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            can = _can_link(differ, n_a, n_b, threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(can))
+
+    def of(side: str) -> DataFrame:
+        columns = {"rep": side, "set_n": f"n_{side}", "parity": f"parity_{side}"}
+        return sketches.select(*[F.col(c).alias(name) for c, name in columns.items()])
+
+    return pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))

@@ -102,6 +102,23 @@ def test_similar_signatures_agree_like_sets():
     assert len(set(tiny[0].tolist())) == 1 and (tiny[0] != tiny[1]).all()
 
 
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 500, 70000):
+        shared = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for alone, others in ((0, 0), (1, 0), (n // 9 + 1, 3), (n, 2 * n)):
+            a = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, alone, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, others, dtype=np.uint64)]))
+            x, y = minhash.parity(a), minhash.parity(b)
+            size = min(len(x), len(y))
+            differ = np.bitwise_count(minhash._folded(x, size) ^ minhash._folded(y, size)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+            if 100 * len(shared) >= 80 * len(np.union1d(a, b)):
+                assert minhash._can_link(differ, len(a), len(b), 80)
+    x, y = (minhash.parity(rng.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(2))
+    assert not minhash._can_link(np.bitwise_count(minhash._folded(x, 64) ^ minhash._folded(y, 64)).sum(), 500, 500, 80)
+
+
 def brute_vectors(rows, threshold=0.9):
     usable = {
         i: np.array(v, float) for i, v in rows
