@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import slices, stored, texts_of
+from rankforge.llm.common import marked_by, slices, stored, texts_of
 from rankforge.llm.components import connected_components
 from rankforge.llm.word_hashes import joined, mix, word_hashes
 
@@ -255,8 +255,9 @@ def _linked(
     stars = stored(_plausible(stars, sketches, threshold), "stars")
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Repeated ids go where the join has put the rows, not in a shuffle of sets.
-    wanted = wanted.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Marks leave most texts where they are; the join is exact for the rest. Repeated
+    # ids go where it has put the rows, not in a shuffle of sets.
+    wanted = wanted.where(marked_by(reps, "doc_id")(F.col("doc_id"))).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(_sets(wanted, words), "sets")
     links = stored(_confirmed(stars, sets, threshold), "links")
     rest = _rest(members, centres, connected_components(links))
@@ -439,14 +440,17 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     stays, and of rows with a null doc_id those without shingles.
     """
     found = near_duplicates(docs, **parameters)
-    kept = stored(found.where("kept").select("doc_id", "n_shingles"), "kept")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    ids = docs["doc_id"].cast("long")
-    once = docs.join(kept.select(F.col("doc_id").alias("__kept")).distinct(), ids == F.col("__kept"), "left_semi")
-    repeats = repeated.select(F.col("doc_id").alias("__again"))
+    ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("copies"))
+    # Rows of other ids stay as they are and where they are.
+    changed = ids.where(F.col("doc_id").isNotNull() & (F.col("copies") != 1))
+    changed = stored(changed.select(F.col("doc_id").alias("__changed"), F.col("copies").alias("__copies")), "changed")
+    repeated = changed.where("__copies > 1")
+    doc_id = docs["doc_id"].cast("long")
+    marked = marked_by(changed, "__changed")(doc_id)
+    same_id = doc_id == F.col("__changed")
+    touched = docs.where(doc_id.isNotNull() & marked)
+    once = docs.where(doc_id.isNotNull() & ~marked).unionAll(touched.join(changed, same_id, "left_anti"))
     if not repeated.isEmpty():
-        several = once.join(repeats, once["doc_id"].cast("long") == F.col("__again"), "left_semi")
-        single = once.join(repeats, once["doc_id"].cast("long") == F.col("__again"), "left_anti")
-        once = single.unionAll(several.dropDuplicates(["doc_id"]))
-    blank = docs.where(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*$"), F.lit(True)))
+        once = once.unionAll(touched.join(repeated, same_id, "left_semi").dropDuplicates(["doc_id"]))
+    blank = docs.where(doc_id.isNull() & F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*$"), F.lit(True)))
     return once.unionAll(blank)
