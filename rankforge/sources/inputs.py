@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 RATINGS_FILE = "ratings.csv"
 ITEMS_FILE = "movies.csv"
 RATINGS_SCHEMA = "userId int, movieId int, rating double, timestamp bigint"
 ITEMS_SCHEMA = "movieId int, title string, genres string"
+# Holds lines with more or fewer fields than the schema.
+IRREGULAR = "irregular_line"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -26,24 +28,35 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items file to ``movieId int, title string``; titles may be quoted."""
-    rows = _csv(spark, path, ITEMS_SCHEMA)
+    """Items file to ``movieId int, title string``; titles may be quoted or empty.
+
+    A row of one field, or without a number, fails the query that reads it.
+    """
+    schema = f"{ITEMS_SCHEMA}, {IRREGULAR} string"
+    reader = _reader(spark, schema).option("mode", "PERMISSIVE").option("columnPruning", False)
+    rows = reader.option("columnNameOfCorruptRecord", IRREGULAR).csv(path)
+    # An absent title reads like an empty one, so the line itself has to tell;
+    # with pruned columns it would not be there.
+    alone = ~F.coalesce(F.contains(IRREGULAR, F.lit(",")), F.lit(True))
+    title = F.when(alone, F.raise_error(F.lit(f"no title in a row of {path}")).cast("string"))
     return rows.select(
         _required("movieId", path),
-        F.coalesce("title", F.lit("")).alias("title"),
+        title.otherwise(F.coalesce("title", F.lit(""))).alias("title"),
     )
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return _reader(spark, schema).option("mode", "FAILFAST").csv(path)
+
+
+def _reader(spark: SparkSession, schema: str) -> DataFrameReader:
     # A quote inside a quoted field is doubled. Lines end records, so large
-    # files stay splittable. Only the selected columns are parsed.
+    # files stay splittable. Of ratings only the selected columns are parsed.
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .option("enforceSchema", True)
-        .option("mode", "FAILFAST")
-        .csv(path)
     )
 
 

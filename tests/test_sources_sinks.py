@@ -113,6 +113,17 @@ def test_item_titles(spark, tmp_path):
     ]
 
 
+def test_item_of_one_field_fails(spark, tmp_path):
+    path = str(tmp_path / "one_field.csv")
+    with open(path, "w") as f:
+        f.write("movieId,title,genres\n4,\n7,t\n8,a,b,c\n")
+    assert [tuple(r) for r in read_items(spark, path).collect()] == [(4, ""), (7, "t"), (8, "a")]
+    with open(path, "a") as f:
+        f.write("14\n")
+    with pytest.raises(Exception, match="no title"):
+        read_items(spark, path).collect()
+
+
 def test_item_without_a_number_fails(spark, tmp_path):
     path = write(tmp_path / "movies.csv", "movieId,title,genres\nx,Toy Story,Drama\n")
     with pytest.raises(READ_ERRORS):
