@@ -176,5 +176,20 @@ def test_recall_at_the_threshold():
     settings = (embedding_dedup.TABLES, embedding_dedup.ROTATIONS, embedding_dedup.PROBES)
     x, y = bucket_keys(a, *settings), bucket_keys(b, *settings)
     met = (x[:, :, None] == y[:, None, :]).any((1, 2))
-    assert met.mean() > 0.98
+    assert met.mean() > 0.995
     assert np.allclose(hadamard(hadamard(a)), a)
+
+
+def test_recall_in_more_dimensions():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(1000, 256))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    tables = embedding_dedup.tables_in(256, embedding_dedup.TABLES)
+    settings = (tables, embedding_dedup.ROTATIONS, embedding_dedup.PROBES)
+    x, y = (bucket_keys(v, *settings).reshape(1000, tables, -1) for v in (a, b))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3))
+    assert met.mean() > 0.995
+    assert [embedding_dedup.tables_in(d, 30) for d in (2, 64, 100, 1024)] == [30, 30, 40, 91]
