@@ -1,4 +1,7 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max index."""
+"""Toxicity: nearest labelled examples by exact cosine over a block-max index.
+
+The TF-IDF vectors are of the terms that tell the labels apart, not of all terms.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,6 @@ PREFIXES = (3, 4, 5, 6, 7)
 # A term is told apart from chance by its chi-square over the examples; of
 # hundreds of thousands of unrelated terms none comes near it.
 CHI_SQUARE = 28.0
-MOST_TERMS = 4096
 NEIGHBOURS = 25
 BLOCK = 64
 
@@ -61,7 +63,7 @@ def _examples(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[Dat
 
 
 def _telling_terms(examples: DataFrame) -> np.ndarray:
-    """Hashes of the terms that tell toxic examples from others, at most ``MOST_TERMS``."""
+    """Hashes of all terms that tell toxic examples from others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -96,8 +98,6 @@ def _telling_terms(examples: DataFrame) -> np.ndarray:
         counted.where(F.col("n") < n)
         .withColumn("chi", square)
         .where(F.col("chi") >= CHI_SQUARE)
-        .orderBy(F.desc("chi"), "term")
-        .limit(MOST_TERMS)
         .select("term")
         .collect()
     )
@@ -248,8 +248,9 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_
     Learns from the rows of ``train`` (``doc_id, text``) that ``labels``
     (``doc_id, toxic``) marks: at most ``sample_docs`` of them, by a hash of the
     id, each text once. A document of several labels is toxic if their mean is
-    at least half. Terms that tell the labels apart among the examples make the
-    TF-IDF vectors; document frequencies are counted over all of ``docs``. The
+    at least half. Terms that tell the labels apart among the examples, those of
+    a chi-square of ``CHI_SQUARE`` and more, make the TF-IDF vectors; other terms
+    play no part, such as a word in fewer than some 28 toxic examples. Document frequencies are counted over all of ``docs``. The
     nearest examples vote with their cosines, and an isotonic fit of the
     examples' labels on the votes the other examples give them makes the score.
     ``evidence`` holds the ids of the five nearest examples, nearest first.
@@ -270,7 +271,7 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_
         term_counts(examples, vocabulary).drop("text").collect(), dict(map(tuple, frequency)), total,
         len(vocabulary), share,
     )
-    shared = spark.sparkContext.broadcast(judge)  # sample_docs vectors of MOST_TERMS terms
+    shared = spark.sparkContext.broadcast(judge)  # sample_docs vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Judge = shared.value

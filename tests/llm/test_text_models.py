@@ -127,6 +127,14 @@ def test_toxic_words_are_learned(spark, docs):
     assert all(e % 4 == 0 for i in range(300, 400, 4) for e in got[i].evidence)
 
 
+def test_all_telling_terms_are_taken(spark):
+    insults = " ".join(f"{i}" for i in range(4500))
+    rows = [(i, i % 2, f"{insults} {i}x" if i % 2 else f"{i}x") for i in range(80)]
+    found = toxicity._telling_terms(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
+    wanted = set(toxicity.terms([insults])[1].tolist())
+    assert len(wanted) > 4096 and wanted == set(found.tolist())
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
