@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rankforge.llm.common import marked_by, slices, stored, texts_of
 from rankforge.llm.components import connected_components
@@ -26,6 +27,9 @@ BLOCK, COLUMNS = 512, 4096
 # A set's parity bits: as many as shingles, to the next power of two, in these bounds.
 PARITY_BITS = 64, 1 << 16
 _SIGNATURE = "doc_id long, n long, set_lo long, set_hi long, bands array<long>, parity binary"
+# What tells a set from others, and the same beside the columns of a row.
+SAME = ["set_lo", "set_hi", "n"]
+TAGS = ["__set_lo", "__set_hi", "__set_n"]
 _BLOCK_ROW = "key long, lo int, hi int, chunk int, rep long, component long"
 
 
@@ -127,6 +131,12 @@ def _can_link(differ, n, other_n, threshold: int):
     return differ * (100 + threshold) <= (n + other_n) * (100 - threshold)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int, int]:
+    """128 bits of the set, and its size."""
+    lo, hi = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), "<i8")
+    return int(lo), int(hi), len(shingles)
+
+
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n, set_lo, set_hi, bands, parity``: set size, 128 bits of the set, band keys, parity bits."""
 
@@ -134,10 +144,8 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
         for batch in slices(batches):
             n, lo, hi, keys, odd = [], [], [], [], []
             for s in shingle_sets(texts_of(batch), words):
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
-                n.append(len(s))
-                lo.append(int(digest[0]))
-                hi.append(int(digest[1]))
+                for column, value in zip((lo, hi, n), _digest(s)):
+                    column.append(value)
                 odd.append(parity(s))
                 keys.append(
                     band_keys(signature(s, bands * rows), bands, rows).view(np.int64)
@@ -165,15 +173,60 @@ def _slim(docs: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _tagged(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with ``TAGS``, which tell the set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tags = np.array([_digest(s) for s in shingle_sets(texts_of(batch), words)], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(tags[:, i]) for i in range(3))], [*batch.schema.names, *TAGS]
+            )
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(t, LongType()) for t in TAGS)]))
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(texts_of(batch), words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"]
+                [batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"]
             )
 
-    return _slim(docs).mapInArrow(run, "rep long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
+
+
+def _texts(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``rep, text``: a text of each node ``wanted`` (``SAME, rep, doc_id``).
+
+    An id that all its rows have one set for leads to the text. Where no such id
+    is known, the sets of the rows with a null id or an id of several sets tell.
+    """
+    slim = _slim(docs)
+    key = F.struct(*SAME)
+    several = (
+        sigs.where(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("doc_id")
+    )
+    several = stored(several, "several")
+    plain = stored(
+        wanted.where(F.col("doc_id").isNotNull()).join(several, "doc_id", "left_anti").select("doc_id", "rep"), "plain"
+    )
+    # Marks leave most texts where they are; the join is exact for the rest. Repeated
+    # ids go where it has put the rows, not in a shuffle of sets.
+    marked = slim.where(marked_by(plain, "doc_id")(F.col("doc_id")))
+    found = marked.join(plain, "doc_id").dropDuplicates(["doc_id"]).select("rep", "text")
+    others = wanted.join(plain, "rep", "left_anti")
+    if others.isEmpty():
+        return found
+    rows = slim.where(F.col("doc_id").isNull()).unionAll(slim.join(several, "doc_id", "left_semi"))
+    # One text of each set a task, before a set of very many rows is dealt out.
+    one = _tagged(rows, words).dropDuplicates(TAGS).select(*[F.col(t).alias(c) for t, c in zip(TAGS, SAME)], "text")
+    return found.unionAll(one.join(others.select(*SAME, "rep"), SAME).select("rep", "text"))
 
 
 def near_duplicates(
@@ -191,9 +244,9 @@ def near_duplicates(
     doc_id in it, and that document is kept.
 
     A null, empty or white text has no shingles and is linked with nothing. Rows
-    that repeat a doc_id count as one document. A null doc_id is linked like any
-    other, names no component if others can, and is never kept. No rows give no
-    rows. Other columns are not looked at.
+    that repeat a doc_id are judged by their texts, each as a document of that id.
+    A null doc_id is linked like any other, names no component if others can, and
+    is never kept. No rows give no rows. Other columns are not looked at.
 
     Equal sets become one node first, so copies cost nothing further. In each
     bucket the member that shares most with others is the centre of a star and
@@ -203,35 +256,48 @@ def near_duplicates(
     the pairs. Before sets are compared, parity bits rule out pairs that cannot
     be similar enough. So a pair is missed only if it meets in no band.
     """
+    sigs, found = _clustered(docs, words, threshold, bands, rows)
+    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(names, "component").select(*SAME, "component_id")
+    # A set of a third of all rows is one row on this side; AQE splits the other.
+    out = sigs.drop("bands", "parity").join(found, SAME, "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def _clustered(
+    docs: DataFrame, words: int, threshold: int, bands: int, rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows, and ``SAME, doc_id, component`` of each distinct set.
+
+    ``doc_id`` is the smallest of the set's rows, null if none has one. The
+    numbers of the components are of this run only and say nothing of ids.
+    """
     sigs = stored(signatures(docs, words, bands, rows), "signatures")
-    same = ["set_lo", "set_hi", "n"]
+    # Numbered as they are written, so a number stays with its set.
     nodes = stored(
         sigs.where(F.col("n") > 0)
-        .groupBy(*same)
+        .groupBy(*SAME)
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min("doc_id").alias("doc_id"),
             F.first("bands").alias("bands"),
             F.first("parity").alias("parity"),
-        ),
+        )
+        .withColumn("rep", F.monotonically_increasing_id()),
         "nodes",
     )
-    named = nodes.where(F.col("rep").isNotNull())
-    members = _shared_buckets(named)
-    sketches = named.select("rep", F.col("n").alias("set_n"), "parity").dropDuplicates(["rep"])
-    links = _linked(docs, members, sketches, words, threshold)
+    members = _shared_buckets(nodes)
+    wanted = nodes.join(members.select("rep").distinct(), "rep", "left_semi").select(*SAME, "rep", "doc_id")
+    sketches = nodes.select("rep", F.col("n").alias("set_n"), "parity")
+    links = _linked(_texts(docs, sigs, wanted, words), members, sketches, words, threshold)
     components = connected_components(links)
-    found = nodes.join(components, nodes["rep"] == components["node"], "left").select(
-        *same, F.coalesce("component", "rep").alias("component_id")
-    )
-    # A set of a third of all rows is one row on this side; AQE splits the other.
-    out = sigs.drop("bands", "parity").join(found, same, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-    )
+    found = nodes.join(components, nodes["rep"] == components["node"], "left")
+    return sigs, stored(found.select(*SAME, "doc_id", F.coalesce("component", "rep").alias("component")), "clusters")
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -242,7 +308,7 @@ def _shared_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _linked(
-    docs: DataFrame, members: DataFrame, sketches: DataFrame, words: int, threshold: int
+    texts: DataFrame, members: DataFrame, sketches: DataFrame, words: int, threshold: int
 ) -> DataFrame:
     centres = stored(_centres(members), "centres")
     stars = (
@@ -253,12 +319,7 @@ def _linked(
         .distinct()
     )
     stars = stored(_plausible(stars, sketches, threshold), "stars")
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Marks leave most texts where they are; the join is exact for the rest. Repeated
-    # ids go where it has put the rows, not in a shuffle of sets.
-    wanted = wanted.where(marked_by(reps, "doc_id")(F.col("doc_id"))).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(_sets(wanted, words), "sets")
+    sets = stored(_sets(texts, words), "sets")
     links = stored(_confirmed(stars, sets, threshold), "links")
     rest = _rest(members, centres, connected_components(links))
     close = (
@@ -433,24 +494,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` without near copies: one of each component stays.
+def keep_one(
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    threshold: int = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component stays.
 
-    Documents without shingles all stay. Of rows that repeat a kept doc_id one
-    stays, and of rows with a null doc_id those without shingles.
+    That is a row of the smallest doc_id, one with a null doc_id only if no other
+    is there. Rows with a null or repeated doc_id are judged by their texts.
+    Documents without shingles all stay, of rows that repeat a doc_id one.
     """
-    found = near_duplicates(docs, **parameters)
-    ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("copies"))
+    sigs, found = _clustered(docs, words, threshold, bands, rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *SAME)).alias("first")
+    keepers = stored(
+        found.groupBy("component").agg(first).select(
+            F.col("first.doc_id").alias("__keeper"),
+            *[F.col(f"first.{c}").alias(f"__keeper_{c}") for c in SAME],
+        ),
+        "keepers",
+    )
+    ids = (
+        sigs.where(F.col("doc_id").isNotNull())
+        .groupBy(F.col("doc_id").alias("__changed"))
+        .agg(F.count(F.lit(1)).alias("__copies"), F.max("n").alias("__n"))
+    )
+    kept = keepers.where(F.col("__keeper").isNotNull()).select(F.col("__keeper").alias("__changed")).distinct()
     # Rows of other ids stay as they are and where they are.
-    changed = ids.where(F.col("doc_id").isNotNull() & (F.col("copies") != 1))
-    changed = stored(changed.select(F.col("doc_id").alias("__changed"), F.col("copies").alias("__copies")), "changed")
-    repeated = changed.where("__copies > 1")
+    single = ids.where("__copies = 1 AND __n > 0").join(kept, "__changed", "left_anti")
+    changed = stored(
+        ids.where("__copies > 1").unionAll(single.select(*ids.columns)).select("__changed", "__copies"), "changed"
+    )
+    repeated = changed.where("__copies > 1").select("__changed")
     doc_id = docs["doc_id"].cast("long")
     marked = marked_by(changed, "__changed")(doc_id)
     same_id = doc_id == F.col("__changed")
     touched = docs.where(doc_id.isNotNull() & marked)
     once = docs.where(doc_id.isNotNull() & ~marked).unionAll(touched.join(changed, same_id, "left_anti"))
+    unclear = []
+    if not sigs.where(F.col("doc_id").isNull()).isEmpty():
+        unclear.append(docs.where(doc_id.isNull()))
     if not repeated.isEmpty():
-        once = once.unionAll(touched.join(repeated, same_id, "left_semi").dropDuplicates(["doc_id"]))
-    blank = docs.where(doc_id.isNull() & F.coalesce(F.col("text").rlike(r"^[\x20\x09-\x0D]*$"), F.lit(True)))
-    return once.unionAll(blank)
+        unclear.append(touched.join(repeated, same_id, "left_semi"))
+    for part in unclear:
+        part = stored(_tagged(part.withColumn("__id", F.col("doc_id").cast("long")), words), "unclear")
+        blank, unnamed = F.col("__set_n") == 0, F.col("__id").isNull()
+        # One row a task goes on, so a text of very many rows is not dealt out whole.
+        one = part.where(~(blank & unnamed)).dropDuplicates(["__id", *TAGS])
+        same = F.col("__id").eqNullSafe(F.col("__keeper"))
+        for tag, column in zip(TAGS, SAME):
+            same &= F.col(tag) == F.col(f"__keeper_{column}")
+        for stay in (part.where(blank & unnamed), one.where(blank), one.where(~blank).join(keepers, same, "left_semi")):
+            once = once.unionAll(stay.select(*docs.columns))
+    return once

@@ -100,6 +100,18 @@ def test_keep_one_does_not_depend_on_the_marks(spark, docs, monkeypatch):
         assert sorted(r.doc_id for r in kept.collect()) == wanted
 
 
+def test_rows_without_or_with_repeated_ids_are_judged_by_text(spark, docs):
+    a, b, c, d = (words(s, 60) for s in (41, 42, 43, 44))
+    near, alone = d + " more", words(45, 60)
+    rows = [(None, a), (None, b), (None, a), (1, c), (1, d), (1, c), (2, near), (3, alone), (None, c),
+            (None, None), (None, " "), (4, ""), (4, ""), (4, b + " more"), (6, words(46, 60)), (None, words(46, 60) + " x")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in minhash.keep_one(docs(rows)).collect())
+    assert kept == sorted(
+        [(0, a), (0, ""), (0, " "), (1, c), (1, d), (3, alone), (4, ""), (4, b + " more"), (6, words(46, 60))]
+    )
+    assert [r.text for r in minhash.keep_one(docs([(None, a)])).collect()] == [a]
+
+
 def test_similar_signatures_agree_like_sets():
     rng = np.random.default_rng(3)
     same = []
