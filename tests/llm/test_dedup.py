@@ -112,6 +112,19 @@ def test_rows_without_or_with_repeated_ids_are_judged_by_text(spark, docs):
     assert [r.text for r in minhash.keep_one(docs([(None, a)])).collect()] == [a]
 
 
+def test_a_text_without_id_bridges_and_texts_of_one_id_are_told_apart(spark, docs):
+    base = words(47, 120).split()
+    chain = [" ".join([f"new{x}" for x in range(n)] + base[n:]) for n in (0, 10, 20)]
+    other = words(48, 120)
+    rows = [(7, chain[0]), (None, chain[1]), (5, chain[2]), (9, other), (9, words(49, 120)), (8, other + " more")]
+    sets = [shingles(t, 2) for _, t in rows]
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(rows), words=2).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(7, 5, False), (None, 5, False), (5, 5, True), (9, 8, False), (9, 9, True), (8, 8, True)], key=str
+    )
+
+
 def test_similar_signatures_agree_like_sets():
     rng = np.random.default_rng(3)
     same = []
