@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import (
     bpe,
     decontaminate,
     embedding_dedup,
+    filter_audit,
     language_id,
+    lexical_search,
     minhash,
+    pii,
     quality_crf,
     reshard,
     toxicity,
@@ -50,6 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_warc_fixity": op10_warc_fixity,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_personal_data": op13_personal_data,
     }
 
 
@@ -150,6 +156,34 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(records.drop("mark"), replica).withColumnRenamed("record_id", "page_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def total(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [total(kind) for kind in ("email", "ip", "card", "phone")]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 _UPPER, _LOWER = url_filter._UPPER, url_filter._LOWER
 
 _OP2 = f"""
@@ -200,5 +234,82 @@ _OP10 = f"""
 """
 
 
+# What separates terms, as the characters that are none of theirs.
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_OP11 = f"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_TERM}) AS ts
+        FROM documents),
+    held AS (SELECT doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+    totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS occ FROM held),
+    tf AS (SELECT doc_id, n, t, CAST(count(*) AS BIGINT) AS tf
+           FROM (SELECT doc_id, n, unnest(ts) AS t FROM held) GROUP BY ALL),
+    df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    asked AS (
+        SELECT DISTINCT item_id,
+               unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_TERM})) AS t
+        FROM benchmark),
+    scored AS (
+        SELECT item_id, doc_id,
+               CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                   * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // occ)))) AS BIGINT) AS score
+        FROM asked JOIN tf USING (t) JOIN df USING (t), totals GROUP BY ALL),
+    ranked AS (
+        SELECT item_id, doc_id, score,
+               CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def _per_order(measure: str) -> str:
+    return f"CAST(coalesce(sum(n) FILTER ({measure}), 0) AS BIGINT)"
+
+
+_OP12 = f"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+                 min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+    l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+    failing AS (
+        SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+               CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS fails
+        FROM w LEFT JOIN l USING (doc_id)),
+    masks AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (
+        SELECT filter_order, step, own,
+               list_sum([1 << (ascii(y) - 65) FOR y IN string_split(filter_order[1:step - 1], '') IF y <> '']) AS b
+        FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+             LATERAL (SELECT 1 << (ascii(filter_order[step]) - 65) AS own)),
+    per AS (
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+               {_per_order("WHERE fails & (b + own) = 0")} AS kept,
+               {_per_order("WHERE fails & b = 0 AND fails & own > 0")} AS removed,
+               {_per_order("WHERE fails & b > 0 AND fails & own > 0")} AS redundant,
+               {_per_order("WHERE fails = own")} AS unique_fails,
+               {_per_order("WHERE fails & b = 0 AND fails & own > 0 AND good")} AS good_lost,
+               {_per_order("WHERE fails & b = 0 AND fails & own > 0 AND toxic")} AS toxic_lost
+        FROM masks, (SELECT filter_order, step, CAST(own AS INTEGER) AS own, CAST(coalesce(b, 0) AS INTEGER) AS b FROM steps)
+        GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM per
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op10_warc_fixity": _OP10}
+    return {
+        "op2_url_filter": _OP2,
+        "op10_warc_fixity": _OP10,
+        "op11_lexical_search": _OP11,
+        "op12_filter_audit": _OP12,
+    }
