@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +32,40 @@ from rankforge.operators.candidates import (  # noqa: E402
     rating_witnesses,
     unseen,
 )
+from rankforge.operators.certificate import certify_top  # noqa: E402
+from rankforge.operators.half_step import agreement, reference_training  # noqa: E402
+from rankforge.operators.histories import store_histories  # noqa: E402
+from rankforge.operators.norm_bounds import item_blocks, top_items  # noqa: E402
+from rankforge.operators.objective import implicit_objective  # noqa: E402
 from rankforge.operators.optimality import user_optimality  # noqa: E402
-from rankforge.operators.ranking import top_recommendations  # noqa: E402
-from rankforge.operators.scoring import join_items, score_pairs, score_user  # noqa: E402
+from rankforge.operators.ranking import (  # noqa: E402
+    DEFAULT_LIMIT,
+    number_rows,
+    top_recommendations,
+)
+from rankforge.operators.scoring import (  # noqa: E402
+    join_items,
+    score_pairs,
+    score_titled_pairs,
+    score_user,
+)
+from rankforge.operators.serving import serve_user, serving_table  # noqa: E402
 from rankforge.plans.recommend import (  # noqa: E402
     ALPHA,
+    ITERATIONS,
     LAMBDA,
     RANK,
+    Recommender,
+    fit_model,
     load_recommender,
+    publish_recommender,
     recommend,
     run_recommend,
     score_candidates,
     train_recommender,
 )
 from rankforge.plans.top_users import run_top_users, top_users  # noqa: E402
-from rankforge.session import shared_dir  # noqa: E402
+from rankforge.session import shared_dir, stored  # noqa: E402
 from rankforge.sinks import write_counts, write_recommendations  # noqa: E402
 from rankforge.sources import (  # noqa: E402
     read_counts,
@@ -71,6 +93,9 @@ LIMIT = 5
 EMBEDDING_SIZE = 64
 LATE_DATE = "31/Feb/2024"  # read as the 29th
 RUN_A, RUN_B = "0007", "run-b"
+MANY = 100  # ranked in ranges
+# What two trainings may differ by: vectors by their length, objectives by their value.
+FACTOR_GAP, OBJECTIVE_GAP = 1e-4, 1e-6
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -121,10 +146,16 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distinct_candidates": _distinct_candidates,
         "score_pairs": _score_pairs,
         "score_pairs_rank10": _score_pairs_rank10,
-        "recommend_join_items": lambda s, d: join_items(_score_pairs(s, d), _items(s, d)),
+        "recommend_join_items": _recommend_join_items,
         "recommend_top_n": _recommend_top_n,
         "recommend_fixed_model": lambda s, d: _recommend_fixed_model(s, d, "rated_by_others"),
         "recommend_fixed_model_unseen": lambda s, d: _recommend_fixed_model(s, d, "unseen"),
+        "serve_fixed_model": lambda s, d: _serve_fixed_model(s, d, unseen=False),
+        "serve_fixed_model_unseen": lambda s, d: _serve_fixed_model(s, d, unseen=True),
+        "user_history": lambda s, d: _histories(s, d).of(USER),
+        "top_n_all_users": _top_n_all_users,
+        "ranked_counts_in_ranges": _ranked_counts_in_ranges,
+        "objective_fixed_factors": _objective_fixed_factors,
         "readback_ranked_counts": lambda s, d: _readback_ranked_counts(s, d, "parquet"),
         "readback_ranked_counts_text": lambda s, d: _readback_ranked_counts(s, d, "text"),
         "readback_recommendations": lambda s, d: _readback_recommendations(s, d, "parquet"),
@@ -133,12 +164,14 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_run_isolation": _sink_run_isolation,
         "als_factor_coverage": _als_factor_coverage,
         "als_scored_items": _als_scored_items,
-        "als_recommend": _als_recommend,
-        "als_recommend_unseen": _als_recommend_unseen,
+        "als_recommend": lambda s, d: _certified(_als_recommend(s, d)),
+        "als_recommend_unseen": lambda s, d: _certified(_als_recommend_unseen(s, d)),
         "als_user_optimality": _als_user_optimality,
-        "als_model_reuse": _als_model_reuse,
+        "als_training_certificate": _als_training_certificate,
+        "als_model_reuse": lambda s, d: _certified(_als_model_reuse(s, d)),
         "als_model_reuse_scores": _als_model_reuse_scores,
-        "recommend_job": _recommend_job,
+        "als_serve_scores": _als_serve_scores,
+        "recommend_job": lambda s, d: _certified(_recommend_job(s, d)),
     }
 
 
@@ -246,6 +279,13 @@ def _distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _recommend_join_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = distinct_candidates(fx.factor_pairs(fx.table(spark, sf_dir, "lineitem")))
+    factors = _factors(spark, sf_dir)
+    scored = score_titled_pairs(pairs, factors, factors, _items(spark, sf_dir))
+    return scored.select("userId", "movieId", F.round("prediction", 6).alias("score"), "title")
+
+
 def _score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = distinct_candidates(fx.factor_pairs(fx.table(spark, sf_dir, "lineitem")))
     factors = _factors(spark, sf_dir)
@@ -274,6 +314,42 @@ def _recommend_fixed_model(spark: SparkSession, sf_dir: str, candidates: str) ->
     return result.withColumn("prediction", F.round("prediction", 6))
 
 
+def _histories(spark: SparkSession, sf_dir: str):
+    # Small files, so that the tables have many of them.
+    return store_histories(_ratings_table(spark, sf_dir), shared_dir(spark, "histories"), 5_000)
+
+
+def _serve_fixed_model(spark: SparkSession, sf_dir: str, unseen: bool) -> DataFrame:
+    factors = _factors(spark, sf_dir)
+    table = stored(
+        serving_table(_ratings(spark, sf_dir), _items(spark, sf_dir), factors), "serving"
+    )
+    histories = _histories(spark, sf_dir) if unseen else None
+    result = top_recommendations(serve_user(table, factors, USER, EMBEDDING_SIZE, histories))
+    return result.withColumn("prediction", F.round("prediction", 6))
+
+
+def _rank10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors(spark, sf_dir).select("id", F.slice("features", 1, RANK).alias("features"))
+
+
+def _top_n_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = _rank10(spark, sf_dir)
+    best = top_items(factors, item_blocks(factors, RANK, block_items=32), RANK, LIMIT)
+    return best.select("userId", "movieId", F.round("prediction", 6).alias("score"))
+
+
+def _objective_fixed_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = _rank10(spark, sf_dir)
+    found = implicit_objective(_ratings(spark, sf_dir), factors, factors, RANK, LAMBDA, ALPHA)
+    return found.select(*(F.round(c, 4).alias(c) for c in found.columns))
+
+
+def _ranked_counts_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_by_user(_entries(spark, sf_dir))
+    return number_rows(counts, [F.desc("n"), F.asc("username")], MANY, per_range=30)
+
+
 # Sinks
 
 
@@ -324,28 +400,66 @@ def _als_scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _als_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass(frozen=True)
+class Recommended:
+    """A result and all that it was picked from, for each user asked for."""
+
+    by_user: list[tuple[DataFrame, DataFrame]]  # candidates with scores, result
+    limit: int
+
+    @property
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, [result for _, result in self.by_user])
+
+
+def _certified(found: Recommended) -> DataFrame:
+    """All candidates, and whether the result is right about each."""
+    return reduce(
+        DataFrame.unionAll,
+        [
+            certify_top(scored, result, found.limit).select("userId", "movieId", "title", "certified")
+            for scored, result in found.by_user
+        ],
+    )
+
+
+def _recommended(
+    trained: Recommender,
+    ratings: DataFrame,
+    items: DataFrame,
+    users: tuple[int, ...] = (USER,),
+    candidates: str = "rated_by_others",
+) -> Recommended:
+    arguments = (ratings, items)
+    return Recommended(
+        [
+            (
+                score_candidates(trained.model, *arguments, user, candidates),
+                recommend(trained.model, *arguments, user, candidates=candidates),
+            )
+            for user in users
+        ],
+        DEFAULT_LIMIT,
+    )
+
+
+def _als_recommend(spark: SparkSession, sf_dir: str) -> Recommended:
     ratings = _ratings_table(spark, sf_dir)
-    model = train_recommender(ratings).model
-    return recommend(model, ratings, _items(spark, sf_dir), USER)
+    return _recommended(train_recommender(ratings), ratings, _items(spark, sf_dir))
 
 
-def _als_recommend_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _als_recommend_unseen(spark: SparkSession, sf_dir: str) -> Recommended:
     ratings = _ratings_table(spark, sf_dir)
-    model = train_recommender(ratings).model
-    return recommend(model, ratings, _items(spark, sf_dir), USER, candidates="unseen")
+    items = _items(spark, sf_dir)
+    return _recommended(train_recommender(ratings), ratings, items, candidates="unseen")
 
 
-def _als_model_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _als_model_reuse(spark: SparkSession, sf_dir: str) -> Recommended:
     path = shared_dir(spark, "recommender")
     train_recommender(_ratings_table(spark, sf_dir), path)
     again = load_recommender(spark, path)
-    items = _items(spark, sf_dir)
-    first, second, third = (
-        recommend(again.model, again.raters, items, user)
-        for user in (USER, OTHER_USER, UNKNOWN_USER)
-    )
-    return first.unionAll(second).unionAll(third)
+    users = (USER, OTHER_USER, UNKNOWN_USER)
+    return _recommended(again, again.raters, _items(spark, sf_dir), users)
 
 
 def _als_user_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,32 +468,97 @@ def _als_user_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_optimality(ratings, model.userFactors, model.itemFactors, RANK, LAMBDA, ALPHA)
 
 
+def _als_training_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the model equal a second training of as many iterations from the same start?
+
+    And does the objective of that one fall with each iteration, to the model's.
+    """
+    ratings = _ratings_table(spark, sf_dir)
+    model = train_recommender(ratings).model
+    parameters = (RANK, LAMBDA, ALPHA)
+
+    def objective(users: DataFrame, items: DataFrame) -> float:
+        return implicit_objective(ratings, users, items, *parameters).first()["objective"]
+
+    start = fit_model(ratings, iterations=0)
+    values = [objective(start.userFactors, start.itemFactors)]
+    for users, items in reference_training(ratings, start.userFactors, RANK, ITERATIONS, LAMBDA, ALPHA):
+        values.append(objective(users, items))
+    reached = objective(model.userFactors, model.itemFactors)
+    falls = [(i + 1, b < a) for i, (a, b) in enumerate(pairwise(values))]
+    falls.append((0, abs(reached - values[-1]) <= OBJECTIVE_GAP * values[-1]))
+    by_kind = [
+        spark.createDataFrame(falls, "id int, agrees boolean").select(F.lit("objective").alias("kind"), "*"),
+        agreement(model.userFactors, users, FACTOR_GAP).select(F.lit("user").alias("kind"), "*"),
+        agreement(model.itemFactors, items, FACTOR_GAP).select(F.lit("item").alias("kind"), "*"),
+    ]
+    return stored(reduce(DataFrame.unionAll, by_kind), "certificate")
+
+
+def _compared(
+    one: DataFrame, two: DataFrame, key: tuple[str, ...] = ("userId", "movieId", "title")
+) -> DataFrame:
+    """Candidates of either side, and whether both have them with the same score."""
+    one = one.withColumnRenamed("prediction", "one")
+    two = two.withColumnRenamed("prediction", "two")
+    same = F.coalesce(F.col("one") == F.col("two"), F.lit(False))
+    return one.join(two, list(key), "full").select(*key, same.alias("same_score"))
+
+
 def _als_model_reuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the factors that training left with the executors, and by the stored ones."""
     path = shared_dir(spark, "recommender")
-    first = train_recommender(_ratings_table(spark, sf_dir), path)
+    ratings = _ratings_table(spark, sf_dir)
+    fitted = fit_model(ratings)
+    publish_recommender(fitted, ratings, path)
     again = load_recommender(spark, path)
     items = _items(spark, sf_dir)
-    key = ["userId", "movieId", "title"]
+    users = (USER, OTHER_USER, UNKNOWN_USER)
+    return reduce(
+        DataFrame.unionAll,
+        [
+            _compared(
+                score_candidates(fitted, ratings, items, user),
+                score_candidates(again.model, again.raters, items, user),
+            )
+            for user in users
+        ],
+    )
 
-    def compared(user: int) -> DataFrame:
-        one, two = (
-            score_candidates(r.model, r.raters, items, user).withColumnRenamed("prediction", name)
-            for r, name in ((first, "one"), (again, "two"))
-        )
-        same = F.col("one") == F.col("two")
-        return one.join(two, key).select(*key, same.alias("same_score"))
 
-    known = compared(USER).unionAll(compared(OTHER_USER))
-    return known.unionAll(compared(UNKNOWN_USER))
+def _als_serve_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and scores from the serving tables, and from ratings, items and model."""
+    ratings, items = _ratings_table(spark, sf_dir), _items(spark, sf_dir)
+    trained = train_recommender(ratings, items=items)
+    model = trained.model
+    return reduce(
+        DataFrame.unionAll,
+        [
+            _compared(
+                serve_user(trained.serving, model.userFactors, USER, RANK, histories),
+                score_candidates(model, ratings, items, USER, candidates),
+            ).select(F.lit(candidates).alias("candidates"), "*")
+            for candidates, histories in (("rated_by_others", None), ("unseen", trained.histories))
+        ],
+    )
 
 
-def _recommend_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recommend_job(spark: SparkSession, sf_dir: str) -> Recommended:
     folder = shared_dir(spark, "recommend-job")
-    _ratings_file(spark, sf_dir, f"{folder}/input")
-    _items_file(spark, sf_dir, f"{folder}/input")
-    return run_recommend(
-        spark, f"{folder}/input", f"{folder}/output", run_id=RUN_A, user_id=USER, limit=LIMIT
+    ratings = read_ratings(spark, _ratings_file(spark, sf_dir, f"{folder}/input"))
+    items = read_items(spark, _items_file(spark, sf_dir, f"{folder}/input"))
+    trained = train_recommender(stored(ratings, "ratings"))
+    result = run_recommend(
+        spark,
+        f"{folder}/input",
+        f"{folder}/output",
+        run_id=RUN_A,
+        user_id=USER,
+        limit=LIMIT,
+        recommender=trained,
     )
+    scored = score_candidates(trained.model, trained.raters, items, USER)
+    return Recommended([(scored, result)], LIMIT)
 
 
 # Oracles
@@ -438,6 +617,16 @@ _UNSEEN = f"""
 """
 
 
+_KNOWN_ITEMS = "SELECT l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+# Only rated items have factors, and so scores.
+_UNSEEN_SCORED = f"{_UNSEEN} AND p_partkey IN ({_KNOWN_ITEMS})"
+
+
+def _all_candidates(candidates: str, *columns: str) -> str:
+    listed = ", ".join(["userId", "movieId", "title", *columns])
+    return f"SELECT {listed} FROM ({candidates}) JOIN ({_ITEMS}) USING (movieId)"
+
+
 def _fixed_model_oracle(candidates: str) -> str:
     return f"""
         WITH {_FACTORS}, items AS ({_ITEMS}), candidates AS ({candidates}),
@@ -525,6 +714,55 @@ def core_oracle_sql() -> dict[str, str]:
             SELECT DISTINCT 'item' AS kind, CAST(l_partkey AS INTEGER) AS id, 10 AS n_features
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         """,
+        "als_recommend": _all_candidates(_RATED_BY_OTHERS, "TRUE AS certified"),
+        "als_recommend_unseen": _all_candidates(_UNSEEN_SCORED, "TRUE AS certified"),
+        "als_model_reuse": _all_candidates(
+            f"{_RATED_BY_OTHERS} UNION ALL {_OTHERS_OF_OTHER_USER}", "TRUE AS certified"
+        ),
+        "recommend_job": _all_candidates(_RATED_BY_OTHERS, "TRUE AS certified"),
+        "als_serve_scores": " UNION ALL ".join(
+            _all_candidates(candidates, "TRUE AS same_score", f"'{name}' AS candidates")
+            for name, candidates in (("rated_by_others", _RATED_BY_OTHERS), ("unseen", _UNSEEN_SCORED))
+        ),
+        "als_training_certificate": f"""
+            SELECT DISTINCT 'user' AS kind, CAST(o_custkey AS INTEGER) AS id, TRUE AS agrees
+            FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+            UNION ALL
+            SELECT DISTINCT 'item', CAST(l_partkey AS INTEGER), TRUE
+            FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+            UNION ALL
+            SELECT 'objective', CAST(unnest(range({ITERATIONS} + 1)) AS INTEGER), TRUE
+        """,
+        "serve_fixed_model": _fixed_model_oracle(_RATED_BY_OTHERS),
+        "serve_fixed_model_unseen": _fixed_model_oracle(_UNSEEN_SCORED),
+        "user_history": f"""
+            SELECT DISTINCT CAST(l_partkey AS INTEGER) AS movieId
+            FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = {USER}
+        """,
+        "top_n_all_users": f"""
+            WITH {_FACTORS},
+            scored AS (SELECT userId, movieId, list_dot_product(u[1:10], i[1:10]) AS exact
+                       FROM users, rated),
+            placed AS (SELECT *, row_number() OVER (
+                           PARTITION BY userId ORDER BY exact DESC, movieId) AS place FROM scored)
+            SELECT userId, movieId, round(exact, 6) AS score FROM placed WHERE place <= {LIMIT}
+        """,
+        "ranked_counts_in_ranges": f"""
+            SELECT username, n, row_number() OVER (ORDER BY n DESC, username) AS rank
+            FROM ({_COUNTS} GROUP BY 1) ORDER BY rank LIMIT {MANY}
+        """,
+        "objective_fixed_factors": f"""
+            WITH {_FACTORS}, ratings AS ({_RATINGS}),
+            known AS (SELECT list_dot_product(u[1:10], i[1:10]) AS p, rating AS r,
+                             list_dot_product(u[1:10], u[1:10]) + list_dot_product(i[1:10], i[1:10]) AS s
+                      FROM ratings JOIN users USING (userId) JOIN rated USING (movieId)),
+            per_rating AS (SELECT sum((1 + {ALPHA} * r) * (1 - p) ** 2 - p ** 2) AS rated,
+                                  {LAMBDA} * sum(s) AS penalty FROM known),
+            pairs AS (SELECT sum(list_dot_product(u[1:10], i[1:10]) ** 2) AS all_pairs FROM users, rated)
+            SELECT round(all_pairs + rated + penalty, 4) AS objective, round(all_pairs, 4) AS all_pairs,
+                   round(rated, 4) AS rated, round(penalty, 4) AS penalty
+            FROM per_rating, pairs
+        """,
         "als_user_optimality": """
             SELECT DISTINCT CAST(o_custkey AS INTEGER) AS userId, TRUE AS converged
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey

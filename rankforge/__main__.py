@@ -3,6 +3,8 @@
     python -m rankforge top-users --input-dir logs/ --output-dir out/ --date-from 2015-07-12
     python -m rankforge train --input-dir ml/ --model model/
     python -m rankforge recommend --input-dir ml/ --output-dir out/ --model model/ --user-id 7
+    python -m rankforge train --input-dir ml/ --model model/ --with-titles
+    python -m rankforge serve --output-dir out/ --model model/ --user-id 7
 
 The rows written are printed, separated by tabs.
 """
@@ -17,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from rankforge.operators.ranking import DEFAULT_LIMIT
 from rankforge.plans.recommend import (
     CANDIDATES,
+    DEFAULT_BLOCKS,
     DEFAULT_USER,
     load_recommender,
     run_recommend,
+    run_serve,
     train_recommender,
 )
 from rankforge.plans.top_users import run_top_users
-from rankforge.session import build_session
-from rankforge.sources import read_ratings
-from rankforge.sources.inputs import RATINGS_FILE
+from rankforge.session import build_session, owned_folders, stored
+from rankforge.sources import read_items, read_ratings
+from rankforge.sources.inputs import ITEMS_FILE, RATINGS_FILE
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,9 +50,16 @@ def parser() -> argparse.ArgumentParser:
     items.add_argument("--candidates", choices=CANDIDATES, default=CANDIDATES[0])
     items.add_argument("--model", help="a stored recommender; trained when not given")
 
+    train.add_argument("--with-titles", action="store_true", help="store tables for serve")
+
+    served = jobs.add_parser("serve", help="best items for a user, from stored tables alone")
+    served.add_argument("--user-id", type=int, default=DEFAULT_USER)
+    served.add_argument("--candidates", choices=CANDIDATES, default=CANDIDATES[0])
+    served.add_argument("--model", required=True, help="a recommender trained with titles")
+
     for job in (users, train, items):
         job.add_argument("--input-dir", required=True)
-    for job in (users, items):
+    for job in (users, items, served):
         job.add_argument("--output-dir", required=True)
         job.add_argument("--run-id", help="keeps the output apart from other runs")
         job.add_argument("--limit", type=int, default=DEFAULT_LIMIT)
@@ -60,9 +71,23 @@ def run(spark: SparkSession, argv: Sequence[str] | None = None) -> DataFrame | N
     """Run the job the arguments name; training gives no rows."""
     args = parser().parse_args(argv)
     if args.job == "train":
-        ratings = read_ratings(spark, f"{args.input_dir.rstrip('/')}/{RATINGS_FILE}")
-        train_recommender(ratings, args.model, args.num_blocks)
+        folder = args.input_dir.rstrip("/")
+        titles = read_items(spark, f"{folder}/{ITEMS_FILE}") if args.with_titles else None
+        with owned_folders(spark):
+            ratings = stored(read_ratings(spark, f"{folder}/{RATINGS_FILE}"), "ratings")
+            train_recommender(ratings, args.model, args.num_blocks or DEFAULT_BLOCKS, items=titles)
         return None
+    if args.job == "serve":
+        return run_serve(
+            spark,
+            args.model,
+            args.output_dir,
+            args.run_id,
+            args.user_id,
+            args.limit,
+            args.candidates,
+            args.format,
+        )
     if args.job == "top-users":
         return run_top_users(
             spark,

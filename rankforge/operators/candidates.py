@@ -36,13 +36,20 @@ def rating_witnesses(ratings: DataFrame) -> DataFrame:
     answers the same on this table as on the ratings, for every user, while the
     table grows with the items and not with the ratings.
     """
-    bounds = ratings.groupBy("movieId").agg(
-        F.min("userId").alias("low"), F.max("userId").alias("high")
-    )
-    return bounds.select(
+    return rater_bounds(ratings).select(
         F.explode(F.array_distinct(F.array("low", "high"))).alias("userId"), "movieId"
     )
 
 
+def rater_bounds(ratings: DataFrame) -> DataFrame:
+    """``movieId, low, high``: the smallest and the largest user id that rated an item.
+
+    Somebody other than a user rated the item if ``low`` or ``high`` is not them.
+    """
+    return ratings.groupBy("movieId").agg(
+        F.min("userId").alias("low"), F.max("userId").alias("high")
+    )
+
+
 def _for_user(items: DataFrame, user_id: int) -> DataFrame:
     return items.select(F.lit(user_id).cast("int").alias("userId"), "movieId")

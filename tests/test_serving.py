@@ -1,0 +1,328 @@
+"""Serving tables, histories, versions, ranges, norm bounds and owned folders."""
+
+import os
+import random
+
+import numpy as np
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from test_plans import physical, shuffles
+
+from rankforge import recommend, run_recommend, run_serve, run_top_users, serve
+from rankforge.operators.candidates import unseen
+from rankforge.operators.histories import load_histories, store_histories
+from rankforge.operators.norm_bounds import item_blocks, top_items
+from rankforge.operators.ranking import in_ordered_files, number_rows, top_counts
+from rankforge.operators.scoring import join_items, score_pairs, score_titled_pairs
+from rankforge.plans import recommend as plan
+from rankforge.plans import versions
+from rankforge.session import owned_folders, shared_dir, stored
+
+
+def ratings_of(spark, users=60, items=40, seed=3):
+    rng = random.Random(seed)
+    data = [
+        (u, i, rng.randint(1, 10) / 2)
+        for u in range(1, users + 1)
+        for i in range(1, items + 1)
+        if rng.random() < 0.25
+    ]
+    data += [(1, 900, 5.0)]  # an item of one user
+    return spark.createDataFrame(data, "userId int, movieId int, rating double")
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    ratings = stored(ratings_of(spark), "ratings")
+    titles = [(i, f"Title {i}, The") for i in range(2, 60)] + [(900, "Alone"), (5, "Again")]
+    items = stored(spark.createDataFrame(titles, "movieId int, title string"), "items")
+    path = shared_dir(spark, "recommender")
+    return ratings, items, plan.train_recommender(ratings, path, items=items), path
+
+
+# Serving
+
+
+@pytest.mark.parametrize("user", [1, 5, 60, 999999, 0])
+def test_serving_gives_what_recommend_gives(trained, user):
+    ratings, items, recommender, _ = trained
+    for candidates in plan.CANDIDATES:
+        for limit in (3, 1000):
+            want = rows(recommend(recommender.model, ratings, items, user, limit, candidates))
+            assert rows(serve(recommender, user, limit, candidates)) == want
+            assert bool(want) == (0 < user <= 60)
+
+
+def test_a_request_is_a_scan_a_filter_and_a_heap(trained):
+    _, _, recommender, _ = trained
+    plan_text = physical(serve(recommender, 5))
+    assert "TakeOrderedAndProject" in plan_text
+    assert "Join" not in plan_text and "Exchange" not in plan_text and "Aggregate" not in plan_text
+
+
+def test_serving_needs_titles(spark, trained):
+    ratings, _, _, _ = trained
+    with pytest.raises(ValueError, match="without items"):
+        serve(plan.train_recommender(ratings), 1)
+    with pytest.raises(ValueError, match="candidates"):
+        serve(trained[2], 1, candidates="all")
+
+
+def test_serve_job(spark, trained):
+    _, _, recommender, path = trained
+    output = shared_dir(spark, "out")
+    got = rows(run_serve(spark, path, output, "r1", 5, 4, "unseen"))
+    assert got == rows(serve(recommender, 5, 4, "unseen"))
+
+
+# Histories
+
+
+def files_read(df):
+    """Files the scans of an executed plan have opened."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numFiles").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.fixture(scope="module")
+def histories(spark):
+    pairs = [(u, i) for u in range(200) for i in range(u % 30 + 1)] * 2
+    pairs += [(77, i) for i in range(2000)] + [(None, 1), (1, None)]
+    ratings = spark.createDataFrame(pairs, "userId int, movieId int").withColumn("rating", F.lit(1.0))
+    path = shared_dir(spark, "histories")
+    return pairs, ratings, store_histories(ratings, path, pairs_per_file=600), path
+
+
+@pytest.mark.parametrize("user", [0, 1, 77, 199, 5000, -1])
+def test_history_of_a_user(spark, histories, user):
+    pairs, ratings, table, path = histories
+    want = sorted({i for u, i in pairs if u == user and i is not None})
+    assert sorted(i for (i,) in rows(table.of(user))) == want
+    assert sorted(i for (i,) in rows(load_histories(spark, path).of(user))) == want
+    items = spark.range(100).select(F.col("id").cast("int").alias("movieId"))
+    known = table.of(user).withColumn("userId", F.lit(user))
+    assert sorted(rows(unseen(items, known, user))) == sorted(rows(unseen(items, ratings, user)))
+
+
+def test_only_files_that_can_hold_the_user_are_read(histories):
+    _, _, table, _ = histories
+    parts = {r.part: (r.low, r.high) for r in table.ranges.collect()}
+    assert len(parts) >= 10
+    for user in (3, 150, 77):
+        can = sum(low <= user <= high for low, high in parts.values())
+        assert files_read(table.of(user)) == can
+        assert can <= 2 if user != 77 else 3 <= can < len(parts)  # 77 has many ratings
+    assert files_read(table.of(5000)) == 0
+
+
+# Versions
+
+
+def test_requests_keep_the_old_version_until_the_new_one_is_published(spark, trained, monkeypatch):
+    ratings, items, _, _ = trained
+    path = shared_dir(spark, "recommender")
+    first = plan.train_recommender(ratings, path, items=items)
+    want = rows(serve(first, 5))
+    seen = []
+
+    def during(*args):
+        seen.append(plan.load_recommender(spark, path).version)
+        assert rows(serve(plan.load_recommender(spark, path), 5)) == want
+        return real(*args)
+
+    real = plan.serving_table
+    monkeypatch.setattr(plan, "serving_table", during)
+    other = ratings.withColumn("rating", F.lit(1.0))
+    second = plan.train_recommender(other, path, items=items)
+    assert seen == [first.version]
+    assert plan.load_recommender(spark, path).version == second.version != first.version
+    assert rows(serve(first, 5)) == want != rows(serve(second, 5))  # a pinned version stays
+
+    def crash(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(plan, "serving_table", crash)
+    with pytest.raises(RuntimeError):
+        plan.train_recommender(ratings, path, items=items)
+    assert plan.load_recommender(spark, path).version == second.version
+    assert versions.versions(spark, path) == [second.version, first.version]
+
+    versions.publish(spark, path, first.version)  # back to the one before
+    assert plan.load_recommender(spark, path).version == first.version
+    assert versions.drop_versions(spark, path, keep=1) == [second.version]
+    assert rows(serve(plan.load_recommender(spark, path), 5)) == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        plan.load_recommender(spark, path, second.version)
+
+
+def test_nothing_published(spark):
+    with pytest.raises(FileNotFoundError):
+        plan.load_recommender(spark, shared_dir(spark, "none"))
+    with pytest.raises(ValueError):
+        versions.version_path("x", "../y")
+    with pytest.raises(ValueError):
+        versions.drop_versions(spark, shared_dir(spark, "none"), keep=0)
+
+
+# Owned folders
+
+
+def test_owned_folders_go_with_their_scope(spark):
+    with owned_folders(spark) as mine:
+        outer = shared_dir(spark, "outer")
+        spark.range(3).write.parquet(outer)
+        with owned_folders(spark) as within:
+            inner = shared_dir(spark, "inner")
+            spark.range(3).write.parquet(inner)
+            assert within == [inner]
+        assert not os.path.exists(inner) and os.path.exists(outer)
+        assert mine == [outer]
+        shared_dir(spark, "never-written")
+    assert not os.path.exists(outer)
+    with pytest.raises(RuntimeError), owned_folders(spark):
+        path = shared_dir(spark, "x")
+        spark.range(3).write.parquet(path)
+        raise RuntimeError
+    assert not os.path.exists(path)
+
+
+def test_jobs_leave_no_folder(spark, tmp_path):
+    ratings = rows(ratings_of(spark))
+    (tmp_path / "ratings.csv").write_text(
+        "\n".join(["userId,movieId,rating,timestamp"] + [f"{u},{i},{r},0" for u, i, r in ratings])
+    )
+    (tmp_path / "movies.csv").write_text(
+        "\n".join(["movieId,title,genres"] + [f'{i},"T {i}",Drama' for i in range(60)])
+    )
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    for candidates in plan.CANDIDATES:
+        got = run_recommend(spark, str(tmp_path), str(tmp_path / "out"), user_id=3, candidates=candidates)
+        assert len(rows(got)) == 10
+    assert set(os.listdir(base)) <= before | {os.path.basename(spark.sparkContext.getCheckpointDir())}
+
+
+# Ranks in ranges
+
+
+@pytest.mark.parametrize("limit", [None, 0, 1, 49, 50, 51, 499, 500, 5000])
+def test_ranks_in_ranges(spark, limit):
+    data = [(f"u{i}", (i * 37) % 11) for i in range(500)]
+    counts = spark.createDataFrame(data, "username string, n bigint").repartition(5)
+    order = [F.desc("n"), F.asc("username")]
+    got = number_rows(counts, order, limit, per_range=50)
+    want = sorted(data, key=lambda r: (-r[1], r[0]))[:limit]
+    assert sorted(rows(got), key=lambda r: r[2]) == [(*r, i + 1) for i, r in enumerate(want)]
+
+
+def test_ranks_of_no_rows(spark):
+    counts = spark.createDataFrame([], "username string, n bigint")
+    assert rows(number_rows(counts, [F.desc("n")], 5)) == []
+    assert rows(number_rows(counts, [F.desc("n")])) == []
+
+
+def test_many_results_leave_in_many_ordered_files(spark, tmp_path, monkeypatch):
+    from rankforge.operators import ranking
+
+    monkeypatch.setattr(ranking, "HEAP_ROWS", 100)
+    monkeypatch.setattr(ranking.number_rows, "__defaults__", (None, 40))
+    monkeypatch.setattr(ranking.in_ordered_files, "__defaults__", (40,))
+    lines = [f"[13/Jul/2015:10] username='{i % 300:08d}'" for i in range(700)]
+    (tmp_path / "access.log").write_text("\n".join(lines))
+    out = str(tmp_path / "out")
+    got = rows(run_top_users(spark, str(tmp_path / "access.log"), out, "r", limit=200))
+    files = sorted(f for f in os.listdir(f"{out}/run_id=r") if f.startswith("part"))
+    assert len(files) == 5
+    stacked = [r for f in files for r in rows(spark.read.parquet(f"{out}/run_id=r/{f}"))]
+    assert stacked == got and len(got) == 200
+    monkeypatch.undo()
+    counts = spark.read.text(str(tmp_path / "access.log")).groupBy(F.substring("value", 28, 8).alias("username"))
+    assert rows(top_counts(counts.agg(F.count("*").alias("n")), 200)) == got
+
+
+# Norm bounds
+
+
+def brute_top(users, items, limit):
+    out = {}
+    for u, x in users:
+        scored = [(i, float(np.dot(np.array(x, float), np.array(y, float)))) for i, y in items]
+        out[u] = sorted(scored, key=lambda s: (-round(s[1], 9), s[0]))[:limit]
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50, 1000])
+def test_top_items_against_all_pairs(spark, limit):
+    rng = np.random.default_rng(2)
+    stretch = np.exp(rng.normal(0, 1.5, 300))
+    items = [(i, (rng.normal(0, 1, 4) * stretch[i]).round(3).tolist()) for i in range(300)]
+    items += [(1000 + i, items[i][1]) for i in range(20)]  # ties
+    users = [(u, rng.normal(0, 1, 4).round(3).tolist()) for u in range(40)]
+    users += [(50, [0.0] * 4), (51, [-1.0, -1.0, -1.0, -1.0])]
+    schema = "id int, features array<float>"
+    blocks = item_blocks(spark.createDataFrame(items, schema), 4, block_items=16)
+    n_blocks = blocks.select("block").distinct().count()
+    assert n_blocks == 20
+    exact = blocks.groupBy("block").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).orderBy("block").collect()
+    assert all(one.a >= two.b for one, two in zip(exact, exact[1:]))
+    got = rows(top_items(spark.createDataFrame(users, schema), blocks, 4, limit))
+    want = brute_top(
+        [(u, np.float32(x)) for u, x in users], [(i, np.float32(y)) for i, y in items], limit
+    )
+    for u, expected in want.items():
+        mine = sorted(((i, p) for v, i, p, _ in got if v == u), key=lambda s: (-round(s[1], 9), s[0]))
+        assert [i for i, _ in mine] == [i for i, _ in expected]
+        assert [p for _, p in mine] == pytest.approx([p for _, p in expected], abs=1e-5)
+    read = {u: r for u, _, _, r in got}
+    if limit <= 7:
+        assert np.mean([read[u] for u in range(40)]) < n_blocks / 2
+    assert read[50] == n_blocks  # all its scores are 0, so nothing is ruled out
+
+
+def test_top_items_of_nobody(spark):
+    none = spark.createDataFrame([], "id int, features array<float>")
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>")
+    assert rows(top_items(none, item_blocks(some, 2), 2)) == []
+    assert rows(top_items(some, item_blocks(none, 2), 2)) == []
+    with pytest.raises(ValueError):
+        top_items(some, item_blocks(some, 2), 2, 0)
+
+
+# Titles first
+
+
+def test_titles_join_before_the_pairs(spark):
+    schema = "id int, features array<float>"
+    factors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 20)], schema)
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(5, 30)] + [(5, "u")], "movieId int, title string")
+    pairs = spark.createDataFrame([(u, i) for u in range(1, 25) for i in range(1, 25)], "userId int, movieId int")
+    one = score_titled_pairs(pairs, factors, factors, items, 2)
+    two = join_items(score_pairs(pairs, factors, factors, 2), items).select(one.columns)
+    assert sorted(rows(one)) == sorted(rows(two)) and rows(one)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        one = score_titled_pairs(pairs, factors, factors, items, 2)
+        two = join_items(score_pairs(pairs, factors, factors, 2), items)
+        assert shuffles(physical(one)) == shuffles(physical(two)) - 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbered_rows_leave_in_rank_order(spark):
+    counts = spark.range(100).selectExpr("CAST(id AS STRING) AS username", "id % 7 AS n")
+    ranked = number_rows(counts, [F.desc("n"), F.asc("username")], 60, per_range=20)
+    parts = in_ordered_files(ranked, 25)
+    assert parts.rdd.getNumPartitions() == 3
+    want = sorted(((r.username, r.n) for r in counts.collect()), key=lambda r: (-r[1], r[0]))[:60]
+    assert rows(parts) == want
