@@ -31,7 +31,7 @@ def item_blocks(items: DataFrame, rank: int, block_items: int = BLOCK_ITEMS) ->
     """
     f = F.col("features")
     normed = items.select(
-        F.col("id").alias("movieId"), f.alias("of_item"), F.sqrt(dot(f, f, rank)).alias("norm")
+        F.col("id").alias("movieId"), f.alias("of_item"), F.sqrt(dot("features", "features", rank)).alias("norm")
     )
     block_items = max(block_items, math.ceil(items.count() / MOST_BLOCKS))
     ranked = number_rows(normed, [F.desc("norm"), F.asc("movieId")])
@@ -60,7 +60,7 @@ def top_items(
     f = F.col("features")
     people = stored(
         users.select(
-            F.col("id").alias("userId"), f.alias("of_user"), F.sqrt(dot(f, f, rank)).alias("length")
+            F.col("id").alias("userId"), f.alias("of_user"), F.sqrt(dot("features", "features", rank)).alias("length")
         ),
         "users",
     )
@@ -83,7 +83,7 @@ def top_items(
             asking.where("open > 0")
             .withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(low - 1) + F.col("open"))))
             .join(blocks.select("block", "movieId", "of_item"), "block")
-            .select("userId", "movieId", dot(F.col("of_user"), F.col("of_item"), rank).alias("prediction"), "nth")
+            .select("userId", "movieId", dot("of_user", "of_item", rank).alias("prediction"), "nth")
             .where(F.col("nth").isNull() | (F.col("prediction") >= F.col("nth")))
             .select("userId", "movieId", "prediction")
         )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.functions.vector import dot
+from rankforge.operators.objective import gram
+
 
 def user_optimality(
     ratings: DataFrame,
@@ -23,42 +26,29 @@ def user_optimality(
     ``tolerance`` of the right one. Ratings must be positive; Y'Y is over all
     items and is one row.
     """
-    each = range(rank)
-    f = F.col("features")
-    squares = [F.sum(f[i].cast("double") * f[j]) for i in each for j in each]
-    gram = item_factors.agg(F.array(*squares).alias("gram")).scalar()
-
     users = user_factors.select(F.col("id").alias("userId"), F.col("features").alias("x"))
     items = item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    product = _total([x[k].cast("double") * y[k] for k in each])
     weighted = (
         ratings.join(items, "movieId")
         .join(users, "userId")
-        .select("userId", "x", "y", (alpha * F.col("rating")).alias("c"), product.alias("d"))
+        .select("userId", "x", "y", (alpha * F.col("rating")).alias("c"), dot("x", "y", rank).alias("d"))
     )
     # Sums only, no outer products: rank numbers a side.
+    right = ", ".join(f"sum((1 + c) * y[{k}])" for k in range(rank))
+    left = ", ".join(f"sum(c * d * y[{k}])" for k in range(rank))
     sides = weighted.groupBy("userId").agg(
         F.first("x").alias("x"),
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum((1 + F.col("c")) * y[k]) for k in each]).alias("right"),
-        F.array(*[F.sum(F.col("c") * F.col("d") * y[k]) for k in each]).alias("left"),
+        F.expr(f"array({right})").alias("right"),
+        F.expr(f"array({left})").alias("left"),
+    )
+    gap = (
+        f"transform(right, (r, i) -> r - left[i] - {regularization}D * n * x[i] - aggregate("
+        f"zip_with(slice(gram, i * {rank} + 1, {rank}), x, (g, v) -> g * v), 0D, (s, e) -> s + e))"
+    )
+    length = "sqrt(aggregate({}, 0D, (s, e) -> s + e * e))"
+    return (
+        sides.withColumn("gram", gram(item_factors, rank).scalar())
+        .withColumn("gap", F.expr(gap))
+        .selectExpr("userId", f"{length.format('gap')} <= {tolerance}D * {length.format('right')} AS converged")
     )
-    right, left = F.col("right"), F.col("left")
-    g = F.col("gram")
-
-    def gap(i: int) -> Column:
-        by_all = _total([g[i * rank + j] * x[j] for j in each])
-        return right[i] - left[i] - by_all - regularization * F.col("n") * x[i]
-
-    gaps = _total([F.pow(gap(i), F.lit(2)) for i in each])
-    size = _total([F.pow(right[i], F.lit(2)) for i in each])
-    converged = F.sqrt(gaps) <= tolerance * F.sqrt(size)
-    return sides.withColumn("gram", gram).select("userId", converged.alias("converged"))
-
-
-def _total(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total

@@ -26,7 +26,7 @@ def score_pairs(
     return (
         pairs.join(items, "movieId")
         .join(users, "userId")
-        .select("userId", "movieId", dot(F.col("of_user"), F.col("of_item"), rank).alias("prediction"))
+        .select("userId", "movieId", dot("of_user", "of_item", rank).alias("prediction"))
     )
 
 
@@ -51,7 +51,7 @@ def score_titled_pairs(
         .select(
             "userId",
             "movieId",
-            dot(F.col("of_user"), F.col("of_item"), rank).alias("prediction"),
+            dot("of_user", "of_item", rank).alias("prediction"),
             "title",
         )
     )
@@ -76,7 +76,7 @@ def score_user(
         candidates.join(items, "movieId")
         .select("userId", "movieId", "of_item", mine.alias("of_user"))
         .where(F.col("of_user").isNotNull())
-        .select("userId", "movieId", dot(F.col("of_user"), F.col("of_item"), rank).alias("prediction"))
+        .select("userId", "movieId", dot("of_user", "of_item", rank).alias("prediction"))
     )
 
 
