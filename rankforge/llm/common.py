@@ -34,6 +34,32 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled_texts(docs: DataFrame, known: DataFrame, label: str, sample_docs: int) -> DataFrame:
+    """``doc_id, text, <label>`` of labelled documents, at most ``sample_docs`` rows.
+
+    ``known`` has one row ``doc_id, <label>`` (0 or 1) for each id. Half of the
+    rows are of either label where there are as many, in the order of a hash of
+    the id; an id with several texts counts a row for each text, and equal rows
+    count once, so the bound holds for rows and not for ids.
+    """
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
+
+    def best(rows: DataFrame, *order: str) -> DataFrame:
+        first = F.xxhash64("doc_id")
+        of = [rows.where(F.col(label) == k).orderBy(first, *order).limit(sample_docs // 2) for k in (0, 1)]
+        return of[0].unionAll(of[1])
+
+    ids = best(known.select("doc_id", label), "doc_id")
+    versions = texts.select("doc_id", "text_hash").join(F.broadcast(ids), "doc_id").distinct()
+    picked = best(versions, "doc_id", "text_hash").select("doc_id", "text_hash", label)
+    rows = texts.join(F.broadcast(picked), ["doc_id", "text_hash"])
+    return rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", label)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,6 +25,11 @@ COVERAGE = 0.7
 # Bytes of test items that are broadcast at once; more take one more pass each.
 PASS_BYTES = 32 << 20
 
+# Letters of Thai to Burmese, Khmer, Kana, and Han.
+_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_LETTERS}]")
+_BEYOND = re.compile(f"[{_LETTERS}]|[^\\x00-\\x7f\\w]")
+
 SCHEMA = (
     "doc_id long, item_id long, item_words long, covered long, coverage double, "
     "tiles array<struct<item_at: int, doc_at: int, words: int>>"
@@ -30,13 +37,31 @@ SCHEMA = (
 
 
 def tokens(texts: list[str]) -> list[np.ndarray]:
-    """Hashes of the lower-cased words of each text; words are letters and digits."""
-    data, starts = joined([t.lower() for t in texts])
+    """Hashes of the lower-cased words of each text.
+
+    Words are letters, digits and the marks on them, of any script; a letter of a
+    script that is written without spaces is a word by itself.
+    """
+    data, starts = joined([_spaced(t.lower()) for t in texts])
     start, _, hashes = word_hashes(data, letters_and_digits())
     bounds = np.searchsorted(start, starts)
     return [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
+def _spaced(text: str) -> str:
+    """The text with spaces for what is no part of a word, beyond ASCII, and around unspaced letters."""
+    if text.isascii() or not _BEYOND.search(text):
+        return text
+    return _BEYOND.sub(_apart, text)
+
+
+def _apart(found: re.Match[str]) -> str:
+    char = found[0]
+    if _UNSPACED.match(char):
+        return f" {char} "
+    return char if unicodedata.category(char)[0] == "M" else " "
+
+
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hash of every run of ``size`` words."""
     n = len(words) - size + 1

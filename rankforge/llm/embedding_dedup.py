@@ -184,8 +184,9 @@ def similar_vectors(
 
     A vector that is null, empty or all zero, or holds a null or non-finite
     component, links with nothing; vectors of different lengths do not link.
-    A null vec_id is linked and counted, names no component if others can, and
-    is never kept. No rows give no rows. Other columns are not looked at.
+    A null vec_id is linked and counted, names no component, and is never kept; a
+    component of nothing else has a null name. No rows give no rows. Other
+    columns are not looked at.
 
     Equal vectors become one node with a count. A bucket is compared in blocks,
     so a task holds two blocks of vectors whatever the size of the bucket, and
@@ -196,13 +197,15 @@ def similar_vectors(
         F.col("embedding").cast("array<double>").alias("vec"),
     ).withColumn("vec", F.when(_usable(F.col("vec")), F.col("vec")))
     rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    nodes = (
+    # Numbered as they are written: a vector that only rows without an id have is a node too.
+    nodes = stored(
         rows.where(F.col("vec").isNotNull())
         .groupBy("vec")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .where(F.col("rep").isNotNull())
+        .agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("rep", F.monotonically_increasing_id()),
+        "nodes",
     )
-    hashed = stored(_hashed(nodes, tables, rotations, probes), "hashed")
+    hashed = stored(_hashed(nodes.select("rep", "copies", "vec"), tables, rotations, probes), "hashed")
     buckets = hashed.select(F.explode(F.array_distinct("keys")).alias("key"), "rep")
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = buckets.join(crowded, "key").join(hashed, "rep")
@@ -230,11 +233,14 @@ def similar_vectors(
         .join(components, F.col("rep") == F.col("node"), "left")
         .select(
             "vec",
+            "first_id",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
             F.coalesce("component", "rep").alias("component"),
         )
     )
-    component = F.coalesce("component", "vec_id")
+    names = classes.groupBy("component").agg(F.min("first_id").alias("name"))
+    classes = classes.join(names, "component").select("vec", "n", "name")
+    component = F.coalesce("name", "vec_id")
     return rows.join(classes, "vec", "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),

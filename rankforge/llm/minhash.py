@@ -505,8 +505,20 @@ def keep_one(
 
     That is a row of the smallest doc_id, one with a null doc_id only if no other
     is there. Rows with a null or repeated doc_id are judged by their texts.
-    Documents without shingles all stay, of rows that repeat a doc_id one.
+    Documents without shingles all stay, of rows that repeat a doc_id one. Of rows
+    with one id and one set, the one whose columns hash lowest stays. Other
+    columns may have any names.
     """
+    # Under names of their own, no column clashes with those made on the way.
+    names = docs.columns
+    kept = _keep_one(
+        docs.toDF(*(n if n in ("doc_id", "text") else f"column_{i}" for i, n in enumerate(names))),
+        words, threshold, bands, rows,
+    )
+    return kept.toDF(*names)
+
+
+def _keep_one(docs: DataFrame, words: int, threshold: int, bands: int, rows: int) -> DataFrame:
     sigs, found = _clustered(docs, words, threshold, bands, rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *SAME)).alias("first")
     keepers = stored(
@@ -542,7 +554,15 @@ def keep_one(
         part = stored(_tagged(part.withColumn("__id", F.col("doc_id").cast("long")), words), "unclear")
         blank, unnamed = F.col("__set_n") == 0, F.col("__id").isNull()
         # One row a task goes on, so a text of very many rows is not dealt out whole.
-        one = part.where(~(blank & unnamed)).dropDuplicates(["__id", *TAGS])
+        columns = [F.col(c) for c in docs.columns]
+        as_text = [c.cast("string") for c in columns]
+        place = F.struct(F.xxhash64(*as_text), F.xxhash64(*[c.isNull() for c in columns]))
+        one = (
+            part.where(~(blank & unnamed))
+            .groupBy("__id", *TAGS)
+            .agg(F.min_by(F.struct(*columns), place).alias("__row"))
+            .select("__id", *TAGS, "__row.*")
+        )
         same = F.col("__id").eqNullSafe(F.col("__keeper"))
         for tag, column in zip(TAGS, SAME):
             same &= F.col(tag) == F.col(f"__keeper_{column}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import filtered, slices, texts_of
+from rankforge.llm.common import filtered, sampled_texts, slices, texts_of
 from rankforge.llm.word_hashes import joined, word_hashes
 
 # The fit takes the lines of so many labelled documents at most, those with the
@@ -205,12 +205,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     )
-    order = F.xxhash64("doc_id")
-    picked = known.where("quality = 0").orderBy(order, "doc_id").limit(sample_docs // 2).unionAll(
-        known.where("quality = 1").orderBy(order, "doc_id").limit(sample_docs // 2)
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id")  # sample_docs rows at most
+    rows = sampled_texts(docs, known, "quality", sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

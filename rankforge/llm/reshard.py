@@ -19,8 +19,9 @@ BLOCKS_PER_SHARD = 256
 BLOCK_BYTES = 64 << 20
 # Up to so many blocks the plan is broadcast.
 BROADCAST_BLOCKS = 100_000
-# Rows of one output file, give or take a block.
-ROWS_PER_FILE = 8192
+# Bytes of one output file, give or take a block; with more than so many files, more.
+FILE_BYTES = 16 << 20
+MOST_FILES = 20_000
 
 
 @dataclass(frozen=True)
@@ -132,32 +133,43 @@ def reshard(
     path: str | None = None,
     text: str = "text",
     blocks_per_shard: int = BLOCKS_PER_SHARD,
-    rows_per_file: int = ROWS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> str:
     """Write the rows into shards ``0..new_shards-1`` with sizes near the capacities.
 
-    ``old_shard`` names a column with the present shard, 0 and up. A row weighs
-    the UTF-8 bytes of its text (null: none) plus 1. Without capacities the
-    shards get equal bytes. The flow is solved on one number per shard, and the
-    shards are cut into blocks by a hash of the row, so that no key makes a
-    large one; only identical rows share a block for sure.
+    ``old_shard`` names a column with the present shard, 0 and up; a row with
+    null or less lies in none and has to move. A row weighs the UTF-8 bytes of
+    its text (null: none) plus 1, whatever its length; texts are not looked at
+    otherwise. Without capacities the shards get equal bytes. The flow is solved
+    on one number per shard, and the shards are cut into blocks by a hash of the
+    row. Identical rows, which share a block, are cut out of a block that they
+    make too large, and dealt out by number.
 
     Returns the folder of Parquet files with partition column ``shard``, then
     ``slot`` (gapless from 0 in each shard), ``moved``, and ``row``, the struct
     of the row as it was, null fields and clashing names included. Equal rows
     keep their number of copies. No rows give an empty folder of that schema.
+    A task writes one file, of ``file_bytes`` or a block more.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark, "shards")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    as_text = [c.cast("string") for c in columns]
     keyed = docs.select(
-        F.col(old_shard).cast("int").alias("__old"),
+        F.when(F.col(old_shard).cast("int") >= 0, F.col(old_shard).cast("int")).alias("__old"),
         size.alias("__size"),
-        F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("__hash"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(*as_text).alias("__hash"),
+        # With the one above, tells rows apart; nulls leave a hash as it is, so they are named.
+        F.xxhash64(F.lit(7), *[c.isNull() for c in columns], *as_text).alias("__same"),
+        F.struct(*columns).alias("row"),
     )
     sizes = {r[0]: r[1] for r in keyed.groupBy("__old").agg(F.sum("__size")).collect()}
-    olds = max(sizes, default=-1) + 1
+    olds = max((o for o in sizes if o is not None), default=-1) + 1
+    if None in sizes:  # one more source, from which every byte moves
+        nowhere = max(olds, new_shards)
+        sizes[nowhere], olds = sizes.pop(None), nowhere + 1
+        keyed = keyed.withColumn("__old", F.coalesce("__old", F.lit(nowhere)))
     supplies = [sizes.get(i, 0) for i in range(olds)]
     total = sum(supplies)
     if capacities is None:
@@ -167,32 +179,73 @@ def reshard(
     count = max(blocks_per_shard, math.ceil(max(supplies, default=0) / BLOCK_BYTES))
     keyed = keyed.withColumn("__block", F.pmod("__hash", F.lit(count)).cast("int"))
     # One row a block: olds * count, the bytes of all divided by BLOCK_BYTES at most.
-    blocks = [
-        tuple(r)
+    blocks = {
+        (r[0], r[1]): (r[2], r[3])
         for r in keyed.groupBy("__old", "__block")
         .agg(F.sum("__size"), F.count(F.lit(1)))
         .collect()
-    ]
-    target = assign_blocks(blocks, transfers)
-    plan, filled, files = [], [0] * new_shards, [0] * new_shards
-    started = [0] * new_shards
-    for old, block, _, rows in sorted(blocks):
+    }
+    quota = {old: max(1, supplies[old] // count) for old in range(olds)}
+    heavy = _heavy_rows(keyed, [k for k, v in blocks.items() if v[0] > 2 * quota[k[0]]], quota)
+    pieces, number = [], count
+    for old, block, first, second, each, copies in heavy:
+        left_bytes, left_rows = blocks[old, block]
+        blocks[old, block] = (left_bytes - each * copies, left_rows - copies)
+        share = max(1, quota[old] // each)
+        for at in range(0, copies, share):
+            n = min(share, copies - at)
+            blocks[old, number] = (each * n, n)
+            pieces.append((old, number, first, second, n))
+            number += 1
+
+    listed = [(old, block, *v) for (old, block), v in sorted(blocks.items()) if v[1]]
+    target = assign_blocks(listed, transfers)
+    file_bytes = max(file_bytes, total // MOST_FILES)
+    filled = [0] * new_shards  # rows of each new shard so far
+    current: list[list[int]] = [[] for _ in range(new_shards)]  # its file: number, bytes, first row
+    plan, files = {}, 0
+    for old, block, held, rows in listed:
         new = target[old, block]
-        if filled[new] - started[new] >= rows_per_file:
-            files[new] += 1
-            started[new] = filled[new]
-        plan.append((old, block, new, files[new], started[new], filled[new]))
+        if not current[new] or current[new][1] >= file_bytes:
+            current[new] = [files, 0, filled[new]]
+            files += 1
+        plan[old, block] = (new, current[new][0], current[new][2], filled[new])
+        current[new][1] += held
         filled[new] += rows
+
+    where = "shard int, __file int, __start long, __at long"
     planned = spark.createDataFrame(
-        plan, "__old int, __block int, shard int, __file int, __start long, __at long"
+        [(*k, *v) for k, v in plan.items() if k[1] < count], f"__old int, __block int, {where}"
     )
     if len(plan) <= BROADCAST_BLOCKS:  # beyond, blocks are joined by a shuffle
         planned = F.broadcast(planned)
-    order = Window.partitionBy("shard", "__file").orderBy("__at", "__hash")
+    placed = ["shard", "__file", "__start", "__at", "__old", "__hash", "row"]
+    if not pieces:
+        dealt = keyed.join(planned, ["__old", "__block"]).select(*placed)
+        dealt = dealt.repartitionById(max(1, files), F.col("__file"))
+    else:
+        key = ["__old", "__hash", "__same"]
+        cut = F.broadcast(  # fewer than blocks
+            spark.createDataFrame(
+                sorted({(o, f, s) for o, _, f, s, _ in pieces}), "__old int, __hash long, __same long"
+            )
+        )
+        rest = keyed.join(cut, key, "left_anti").join(planned, ["__old", "__block"])
+        # One of the identical rows goes to each file that gets some, and is repeated there.
+        one = keyed.join(cut, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        shares = spark.createDataFrame(
+            [(o, f, s, n, *plan[o, block]) for o, block, f, s, n in pieces],
+            f"__old int, __hash long, __same long, __n int, {where}",
+        )
+        dealt = (
+            rest.select(*placed, F.lit(1).alias("__n"))
+            .unionAll(one.join(F.broadcast(shares), key).select(*placed, "__n"))
+            .repartitionById(max(1, files), F.col("__file"))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n")))
+        )
+    order = Window.partitionBy("__file").orderBy("__at", "__hash")
     (
-        keyed.join(planned, ["__old", "__block"])
-        .repartition(max(1, sum(f + 1 for f in files)), "shard", "__file")
-        .select(
+        dealt.select(
             "shard",
             (F.col("__start") + F.row_number().over(order) - 1).alias("slot"),
             (F.col("__old") != F.col("shard")).alias("moved"),
@@ -204,6 +257,30 @@ def reshard(
     return path
 
 
+def _heavy_rows(
+    keyed: DataFrame, blocks: Sequence[tuple[int, int]], quota: dict[int, int]
+) -> list[tuple[int, int, int, int, int, int]]:
+    """``old, block, hash, same, size, copies`` of rows whose copies exceed the quota.
+
+    Only ``blocks`` are searched. The bytes of all divided by the quota bound the list.
+    """
+    if not blocks:
+        return []
+    spark = keyed.sparkSession
+    large = spark.createDataFrame(
+        [(old, block, quota[old]) for old, block in blocks], "__old int, __block int, __quota long"
+    )
+    found = (
+        keyed.drop("row")
+        .join(F.broadcast(large), ["__old", "__block"])
+        .groupBy("__old", "__block", "__hash", "__same", "__quota", "__size")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .where((F.col("copies") > 1) & (F.col("copies") * F.col("__size") > F.col("__quota")))
+    )
+    columns = ("__old", "__block", "__hash", "__same", "__size", "copies")
+    return sorted(tuple(r) for r in found.select(*columns).collect())
+
+
 def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     """``shard, slot, moved, row`` of what ``reshard`` wrote of ``docs``."""
     from pyspark.sql.types import StructType
@@ -237,10 +314,12 @@ def rewrite_affected(
     affected = sorted({s for t in transfers if t.source != t.target for s in (t.source, t.target)})
     out = shared_dir(spark, "shards")
     part = held.where(F.col("shard").isin(affected))
-    names = docs.columns
-    rows = part.select(F.col("shard").alias("__shard"), *[F.col("row")[c].alias(c) for c in names])
+    names, own = docs.columns, "__shard"
+    while own in names:
+        own += "_"
+    rows = part.select(F.col("shard").alias(own), *[F.col("row")[c].alias(c) for c in names])
     wanted = [0] * len(capacities)
     for t in transfers:
         if t.source in affected or t.target in affected:
             wanted[t.target] += t.size
-    return reshard(rows, "__shard", len(capacities), wanted, out, text), affected
+    return reshard(rows, own, len(capacities), wanted, out, text), affected

@@ -5,6 +5,7 @@ The TF-IDF vectors are of the terms that tell the labels apart, not of all terms
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import slices, stored, texts_of
+from rankforge.llm.common import sampled_texts, slices, stored, texts_of
 from rankforge.llm.word_hashes import joined, letters_and_digits, mix, word_sums
 
 # Labelled examples at most, half of them toxic where there are as many.
@@ -53,12 +54,7 @@ def _examples(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[Dat
         .agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     )
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample_docs // 2).unionAll(
-        known.where("toxic = 0").orderBy(order, "doc_id").limit(sample_docs // 2)
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id")  # sample_docs rows at most
+    rows = sampled_texts(docs, known, "toxic", sample_docs)
     return stored(rows.dropDuplicates(["text"]), "examples"), share
 
 
@@ -309,11 +305,11 @@ def _judge(rows, frequency: dict[int, int], total: int, size: int, share: float)
         return judge
     vectors = [judge.vector(np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in full]
     judge.index = BlockMaxIndex([r["doc_id"] for r in full], [r["toxic"] for r in full], vectors, size)
-    place_of = {int(i): p for p, i in enumerate(judge.index.ids)}
+    shared_id = Counter(r["doc_id"] for r in full)
     votes = []
     for r, v in zip(full, vectors):
-        place, cosine = judge.index.nearest(*v, NEIGHBOURS + 1)
-        other = place != place_of[r["doc_id"]]
+        place, cosine = judge.index.nearest(*v, NEIGHBOURS + shared_id[r["doc_id"]])
+        other = judge.index.ids[place] != r["doc_id"]  # no example votes for its own id
         votes.append(judge.vote(place[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]))
     truth = np.array([r["toxic"] for r in full], float)
     weight = np.where(truth > 0, weights[1], weights[0])
