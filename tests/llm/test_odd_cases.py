@@ -1,5 +1,7 @@
 """Hot identical rows, nulls apart from empties, unspaced scripts, clashing names, row-true samples."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,8 +37,9 @@ def test_a_third_of_identical_rows_is_dealt_out(spark, docs, file_bytes):
     for shard in range(8):
         slots = [r[0] for r in held.where(F.col("shard") == shard).select("slot").collect()]
         assert sorted(slots) == list(range(len(slots)))
-    files = reshard.read_shards(spark, path, df).inputFiles()
-    assert len(files) == 8 if file_bytes == reshard.FILE_BYTES else len(files) > 16
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part")]
+    least, most = (8, 8) if file_bytes == reshard.FILE_BYTES else (16, 200)
+    assert least <= len(files) <= most
     held.unpersist()
 
 
