@@ -24,6 +24,9 @@ TILE_WORDS = 4
 COVERAGE = 0.7
 # Bytes of test items that are broadcast at once; more take one more pass each.
 PASS_BYTES = 32 << 20
+# With more pairs of equal seeds between a text and an item than this, which only
+# repeated words make, lengths are searched in place of pairs; the tiles are the same.
+PAIRS = 1 << 16
 
 # Letters of Thai to Burmese, Khmer, Kana, and Han.
 _LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -114,6 +117,82 @@ def tiling(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, size: int) -> li
     return sorted(tiles)
 
 
+class Runs:
+    """Hashes of the runs of any length in a list of words, and which of them are free."""
+
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        n = len(words)
+        power, back = (np.full(n + 1, np.uint64(b)) for b in (self._BASE, pow(self._BASE, -1, 1 << 64)))
+        power[0] = back[0] = 1
+        self.words, self.starts = words, starts
+        self.back = np.multiply.accumulate(back)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words) * np.multiply.accumulate(power)[:-1], out=self.sums[1:])
+        self.marked = np.zeros(n, bool)
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the free runs of this length that start with a seed."""
+        marks = np.append(0, np.cumsum(self.marked))
+        at = self.starts[self.starts + length <= len(self.words)]
+        at = at[marks[at + length] == marks[at]]
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+def tiling_by_length(
+    item: np.ndarray, doc: np.ndarray, item_at: np.ndarray, doc_at: np.ndarray, size: int
+) -> list[tuple[int, int, int]]:
+    """The tiles of ``tiling`` from the places of seeds, ascending, without their pairs.
+
+    The longest length that a free run of both has is found by halving, as a
+    common run contains common runs of all smaller lengths; then all tiles of
+    that length are marked.
+    """
+    ours, theirs = Runs(item, item_at), Runs(doc, doc_at)
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (p, of_p), (t, of_t) = ours.of(length), theirs.of(length)
+        known = np.sort(of_p)
+        in_item = known[np.minimum(np.searchsorted(known, of_t), len(known) - 1)] == of_t if len(p) else of_t != of_t
+        return p, of_p, t[in_item], of_t[in_item]
+
+    tiles = []
+    longest = min(len(item), len(doc))
+    while longest >= size:
+        low, high = size - 1, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[2]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < size:
+            break
+        p, of_p, t, of_t = common(low)
+        order = np.argsort(of_t, kind="stable")
+        t, of_t = t[order], of_t[order]
+        first = np.searchsorted(of_t, of_p, side="left")
+        last = np.searchsorted(of_t, of_p, side="right")
+        # What is marked stays so: of equal runs those looked at need no second look.
+        upto: dict[int, int] = {}
+        for at, lo, hi in zip(p.tolist(), first.tolist(), last.tolist()):
+            if lo == hi or ours.marked[at : at + low].any():
+                continue
+            i = upto.get(lo, lo)
+            while i < hi and theirs.marked[t[i] : t[i] + low].any():
+                i += 1
+            upto[lo] = i
+            for j in range(i, hi):  # the hash only proposes
+                to = int(t[j])
+                if (item[at : at + low] == doc[to : to + low]).all() and not theirs.marked[to : to + low].any():
+                    tiles.append((at, to, low))
+                    ours.marked[at : at + low] = theirs.marked[to : to + low] = True
+                    break
+        longest = low - 1
+    return sorted(tiles)
+
+
 @dataclass
 class Index:
     """Seeds of the test items: hash of a run of words to the items and places it is at."""
@@ -148,16 +227,33 @@ class Index:
             hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == grams)
             if not len(hit):
                 continue
-            lo = lo[hit]
-            count = np.searchsorted(hashes, grams[hit], side="right") - lo
-            at = np.repeat(hit, count)
+            # Each seed once, with the places that it has in the text.
+            grams, lo = grams[hit], lo[hit]
+            order = np.argsort(grams, kind="stable")
+            first = np.flatnonzero(np.diff(grams[order], prepend=~grams[order][:1]))
+            places_in_doc, times = hit[order], np.diff(np.append(first, len(hit)))
+            low = lo[order][first]
+            count = np.searchsorted(hashes, grams[order][first], side="right") - low
             ends = np.cumsum(count)
-            entry = np.repeat(lo - (ends - count), count) + np.arange(ends[-1])
-            of = items[entry]
-            for i in np.unique(of).tolist():
-                mine = of == i
-                pairs = np.stack([places[entry[mine]], at[mine]], axis=1)
-                tiles = tiling(self.words[i], doc, pairs, length)
+            entry = np.repeat(low - (ends - count), count) + np.arange(ends[-1])
+            seed = np.repeat(np.arange(len(first)), count)
+            by_item = np.argsort(items[entry], kind="stable")
+            entry, seed = entry[by_item], seed[by_item]
+            bounds = np.flatnonzero(np.diff(items[entry], prepend=-1)).tolist() + [len(entry)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                i = int(items[entry[a]])
+                of, at = seed[a:b], places[entry[a:b]]
+                each = times[of]
+                if each.sum() > PAIRS:
+                    wanted = np.zeros(len(first), bool)
+                    wanted[of] = True
+                    in_doc = np.sort(places_in_doc[np.repeat(wanted, times)])
+                    tiles = tiling_by_length(self.words[i], doc, np.sort(at), in_doc, length)
+                else:
+                    ends = np.cumsum(each)
+                    in_doc = places_in_doc[np.repeat(first[of] - (ends - each), each) + np.arange(ends[-1])]
+                    pairs = np.stack([np.repeat(at, each), in_doc], axis=1)
+                    tiles = tiling(self.words[i], doc, pairs, length)
                 if tiles:
                     yield i, tiles
 
@@ -179,7 +275,8 @@ def find_overlaps(
 
     A null or empty text on either side, or one without a letter or digit, makes
     no pair; nor do empty tables. Null ids, repeated rows and ties give rows like
-    any others, one for each pair of rows. Other columns are not looked at.
+    any others, one for each pair of rows. Other columns are not looked at. Words
+    repeated thousands of times on both sides are searched by length, not by pairs.
 
     The items are broadcast, at most ``pass_bytes`` of them at once, and every
     pass reads all documents; a text is compared with items by itself, so no

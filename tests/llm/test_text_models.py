@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import public_tokenizers
@@ -190,6 +191,40 @@ def test_tiling_equals_brute_force():
         assert sum(t[2] for t in tiles) == brute_tiling(item.tolist(), doc.tolist(), 3)
 
 
+def seeded(item, size):
+    index = decontaminate.Index([1], [item])
+    hashes = decontaminate.rolling(item, size)
+    order = np.argsort(hashes, kind="stable")
+    index.seeds[size] = (hashes[order], np.zeros(len(order), int), order)
+    return index
+
+
+def test_tiles_by_length_are_those_of_pairs(monkeypatch):
+    rng = np.random.default_rng(9)
+    for case in range(150):
+        stock, size = (1, 2, 3, 6)[case % 4], (1, 2, 4)[case % 3]
+        item = rng.integers(0, stock, rng.integers(1, 30)).astype(np.uint64)
+        doc = np.concatenate([rng.integers(0, stock + 1, rng.integers(0, 40)).astype(np.uint64), item[::2], item])
+        index = seeded(item, min(size, len(item)))
+        found = []
+        for pairs in (1 << 16, 0):
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            found.append(list(index.overlaps(doc)))
+        assert found[0] == found[1]
+
+
+def test_words_repeated_on_both_sides_are_no_square():
+    item, doc = np.full(4000, 7, np.uint64), np.full(4000, 7, np.uint64)
+    start = time.monotonic()
+    assert list(seeded(item, 4).overlaps(doc)) == [(0, [(0, 0, 4000)])]
+    # Runs of one word between others, and a text a hundred times as long.
+    item[::50], doc = np.arange(80), np.full(400000, 7, np.uint64)
+    doc[::35] = 100 + np.arange(len(doc[::35]))
+    (found,) = seeded(item, 4).overlaps(doc)
+    assert sum(n for _, _, n in found[1]) == (item == 7).sum()
+    assert time.monotonic() - start < 3
+
+
 def test_reordered_passages_are_found(spark, docs):
     first, second, third = (words(s, 15) for s in (11, 12, 13))
     tests = spark.createDataFrame(
