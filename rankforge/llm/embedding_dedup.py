@@ -25,6 +25,8 @@ TABLES, ROTATIONS, PROBES = 30, 4, 3
 GROWTH = 0.4
 # Vectors of one side of a comparison task; larger buckets are cut into more.
 BLOCK = 1024
+# Cosines and components of blocks that are compared at once.
+CELLS = 1 << 20
 
 
 def tables_in(dims: int, tables: int) -> int:
@@ -124,48 +126,98 @@ def _hashed(nodes: DataFrame, tables: int, rotations: int, probes: int) -> DataF
 
 
 def _compare(threshold: float, probes: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, lo, hi = (k.as_py() for k in key)
-        table = table.combine_chunks()
-        rep = table.column("rep").to_numpy()
-        copies = table.column("copies").to_numpy()
-        chunk = table.column("chunk").to_numpy()
-        vec = table.column("vec").combine_chunks()
-        dims = np.zeros(len(rep))
-        x = _unit(vec, dims)
-        keys = table.column("keys").combine_chunks().flatten().to_numpy()
-        keys = keys.reshape(len(rep), -1, probes)  # of each table
-        a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        i, j = np.nonzero(x[a] @ x[b].T >= threshold)
-        i, j = a[i], b[j]
-        if lo == hi:
-            i, j = i[i < j], j[i < j]
-        links = np.zeros(len(rep), np.int64)
-        root = np.arange(len(rep))
-        for at in range(0, len(i), 8192):
-            p, q = i[at : at + 8192], j[at : at + 8192]
-            # A pair that meets in several buckets counts in the smallest of them.
-            one, other = keys[p], keys[q]
-            shared = (one[:, :, :, None] == other[:, :, None, :]).any(3)
-            meet = np.where(shared, one, np.iinfo(np.int64).max).min((1, 2))
-            p, q = p[meet == bucket], q[meet == bucket]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-        while len(i):
-            low = np.minimum(root[i], root[j])
-            before = root.copy()
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        return pa.table(
-            {"rep": pa.array(rep), "n": pa.array(links), "root": pa.array(rep[root])}
-        )
+    """Links of the rows of a partition sorted by ``key, lo, hi``, many blocks at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([rest, rows]) if rest else rows).combine_chunks()
+            last = int(_starts(rows)[-1])  # the last block may go on in the next batch
+            if last:
+                yield _links(rows.slice(0, last), threshold, probes)
+            rest = rows.slice(last)
+        if rest:
+            yield _links(rest, threshold, probes)
 
     return run
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    fresh = np.ones(rows.num_rows, bool)
+    fresh[1:] = False
+    for name in ("key", "lo", "hi"):
+        column = rows.column(name).to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _links(rows: pa.Table, threshold: float, probes: int) -> pa.RecordBatch:
+    """``rep, n, root`` of the rows with links in whole blocks; of those one row of each block."""
+    rows = rows.combine_chunks()
+    rep, copies, key = (rows.column(c).to_numpy() for c in ("rep", "copies", "key"))
+    first = rows.column("chunk").to_numpy() == rows.column("lo").to_numpy()
+    second = rows.column("chunk").to_numpy() == rows.column("hi").to_numpy()
+    vec = rows.column("vec").chunk(0)
+    dims = np.diff(vec.offsets.to_numpy())
+    starts = _starts(rows)
+    sizes = np.diff(np.append(starts, len(rep)))
+    pairs = []
+    # Blocks of one size are compared at once, in parts of so many products.
+    for size, d in sorted(set(zip(sizes.tolist(), dims[starts].tolist()))):
+        group = starts[(sizes == size) & (dims[starts] == d)]
+        step = max(1, CELLS // (size * max(size, d)))
+        for at in range(0, len(group), step):
+            place = group[at : at + step, None] + np.arange(size)
+            x = _unit(vec.take(pa.array(place.ravel())), place.ravel()).reshape(*place.shape, d)
+            if step == 1 and not (first[place] & second[place]).any():
+                a, b = np.flatnonzero(first[place[0]]), np.flatnonzero(second[place[0]])
+                i, j = np.nonzero(x[0, a] @ x[0, b].T >= threshold)
+                pairs.append((place[0, a[i]], place[0, b[j]]))
+                continue
+            linked = x @ x.transpose(0, 2, 1) >= threshold
+            linked &= first[place][:, :, None] & second[place][:, None, :]
+            # Within one chunk each pair is seen from both sides.
+            both = first[place] & second[place]
+            linked &= ~(both[:, :, None] & both[:, None, :]) | np.triu(np.ones((size, size), bool), 1)
+            g, i, j = np.nonzero(linked)
+            pairs.append((place[g, i], place[g, j]))
+    i, j = (np.concatenate(side) for side in zip(*pairs))
+    keys = rows.column("keys").chunk(0)
+    offset = keys.offsets.to_numpy()
+    flat = keys.values.to_numpy()
+    links = np.zeros(len(rep), np.int64)
+    width = np.diff(offset)
+    for at in range(0, len(i), 8192):
+        p, q = i[at : at + 8192], j[at : at + 8192]
+        # A pair that meets in several buckets counts in the smallest of them.
+        meet = np.zeros(len(p), np.int64)
+        for w in np.unique(width[p]).tolist():
+            part = np.flatnonzero(width[p] == w)
+            one, other = (flat[offset[side[part], None] + np.arange(w)].reshape(len(part), -1, probes) for side in (p, q))
+            shared = (one[:, :, :, None] == other[:, :, None, :]).any(3)
+            meet[part] = np.where(shared, one, np.iinfo(np.int64).max).min((1, 2))
+        counts = meet == key[p]
+        p, q = p[counts], q[counts]
+        np.add.at(links, p, copies[q])
+        np.add.at(links, q, copies[p])
+    root = np.arange(len(rep))
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    told = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rep[told]), pa.array(links[told]), pa.array(rep[root[told]])], ["rep", "n", "root"]
+    )
+
+
 def similar_vectors(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
@@ -188,9 +240,10 @@ def similar_vectors(
     component of nothing else has a null name. No rows give no rows. Other
     columns are not looked at.
 
-    Equal vectors become one node with a count. A bucket is compared in blocks,
-    so a task holds two blocks of vectors whatever the size of the bucket, and
-    returns one row for each vector, never the pairs.
+    Equal vectors become one node with a count. Buckets of the same members are
+    one. A bucket is compared in blocks, so a task holds a batch of rows or two
+    blocks of vectors whatever the size of the bucket, and returns one row for
+    each vector with links, never the pairs.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -207,7 +260,22 @@ def similar_vectors(
     )
     hashed = stored(_hashed(nodes.select("rep", "copies", "vec"), tables, rotations, probes), "hashed")
     buckets = hashed.select(F.explode(F.array_distinct("keys")).alias("key"), "rep")
-    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members_of = {
+        "size": F.count(F.lit(1)),
+        "least": F.min("rep"),
+        "most": F.max("rep"),
+        "one": F.bit_xor(F.xxhash64("rep")),
+        "other": F.bit_xor(F.xxhash64("rep", F.lit(1))),
+    }
+    # Of buckets with the same members the smallest stays: it is the one that counts.
+    crowded = (
+        buckets.groupBy("key")
+        .agg(*[c.alias(name) for name, c in members_of.items()])
+        .where("size > 1")
+        .groupBy(*members_of)
+        .agg(F.min("key").alias("key"))
+        .select("key", "size")
+    )
     members = buckets.join(crowded, "key").join(hashed, "rep")
     chunks = F.ceil(F.col("size") / block).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), chunks).cast("int")
@@ -221,9 +289,9 @@ def similar_vectors(
         )
     )
     found = stored(
-        blocks.groupBy("key", "lo", "hi").applyInArrow(
-            _compare(threshold, probes), "rep long, n long, root long"
-        ),
+        blocks.repartition("key", "lo", "hi")
+        .sortWithinPartitions("key", "lo", "hi")
+        .mapInArrow(_compare(threshold, probes), "rep long, n long, root long"),
         "links",
     )
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
