@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +14,6 @@ from rankforge.session import shared_dir
 
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 20
-# 16 MB of marks on any input. With 60 million ids a third of the others are marked too.
-MARK_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,36 +63,6 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
 
 
-def marked_by(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test that holds for all ``ids`` and, by chance, for some other ids.
-
-    Each id sets one of ``MARK_BITS`` bits, whose words are broadcast. Use it
-    ahead of an exact join to leave rows that cannot match out of its shuffle;
-    more ids weaken it, and change no result.
-    """
-
-    def bit(doc_id: Column) -> Column:
-        return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(MARK_BITS))
-
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
-    found = (
-        ids.select(bit(F.col(column)).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(mark).alias("marks"))
-        .toArrow()
-    )
-    words = np.zeros(MARK_BITS // 64, np.int64)
-    words[found.column("word").to_numpy()] = found.column("marks").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def marked(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return lambda doc_id: marked(bit(doc_id))
-
-
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text"
 ) -> Iterator[pa.RecordBatch]:

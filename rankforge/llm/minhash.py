@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rankforge.llm.common import marked_by, slices, stored, texts_of
+from rankforge.llm.common import slices, stored, texts_of
 from rankforge.llm.components import connected_components
 from rankforge.llm.word_hashes import joined, mix, word_hashes
 
@@ -216,10 +216,10 @@ def _texts(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, words: int) -> D
     plain = stored(
         wanted.where(F.col("doc_id").isNotNull()).join(several, "doc_id", "left_anti").select("doc_id", "rep"), "plain"
     )
-    # Marks leave most texts where they are; the join is exact for the rest. Repeated
-    # ids go where it has put the rows, not in a shuffle of sets.
-    marked = slim.where(marked_by(plain, "doc_id")(F.col("doc_id")))
-    found = marked.join(plain, "doc_id").dropDuplicates(["doc_id"]).select("rep", "text")
+    # A stored table has a measured size: Spark broadcasts it while that is small, and
+    # shuffles the texts once beyond. Repeated ids go where the join has put the rows,
+    # not in a shuffle of sets.
+    found = slim.join(plain, "doc_id").dropDuplicates(["doc_id"]).select("rep", "text")
     others = wanted.join(plain, "rep", "left_anti")
     if others.isEmpty():
         return found
@@ -541,15 +541,14 @@ def _keep_one(docs: DataFrame, words: int, threshold: int, bands: int, rows: int
     )
     repeated = changed.where("__copies > 1").select("__changed")
     doc_id = docs["doc_id"].cast("long")
-    marked = marked_by(changed, "__changed")(doc_id)
     same_id = doc_id == F.col("__changed")
-    touched = docs.where(doc_id.isNotNull() & marked)
-    once = docs.where(doc_id.isNotNull() & ~marked).unionAll(touched.join(changed, same_id, "left_anti"))
+    # As in _texts: a broadcast while the stored ids are small, else one shuffle of the texts.
+    once = docs.where(doc_id.isNotNull()).join(changed, same_id, "left_anti")
     unclear = []
     if not sigs.where(F.col("doc_id").isNull()).isEmpty():
         unclear.append(docs.where(doc_id.isNull()))
     if not repeated.isEmpty():
-        unclear.append(touched.join(repeated, same_id, "left_semi"))
+        unclear.append(docs.join(repeated, same_id, "left_semi"))
     for part in unclear:
         part = stored(_tagged(part.withColumn("__id", F.col("doc_id").cast("long")), words), "unclear")
         blank, unnamed = F.col("__set_n") == 0, F.col("__id").isNull()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.llm import common, embedding_dedup, minhash, queries
+from rankforge.llm import embedding_dedup, minhash, queries
 from rankforge.llm.components import connected_components
 from rankforge.llm.embedding_dedup import bucket_keys, hadamard
 from tests_llm import ODD, docs, words  # noqa: F401
@@ -89,15 +89,20 @@ def test_odd_rows(spark, docs):
     assert minhash.keep_one(docs([])).collect() == []
 
 
-def test_keep_one_does_not_depend_on_the_marks(spark, docs, monkeypatch):
+def test_keep_one_does_not_depend_on_what_is_broadcast(spark, docs):
     text = words(7, 60)
     df = docs([(i, text if i % 4 == 0 else words(100 + i, 60)) for i in range(40)] + [(7, words(107, 60))])
     wanted = sorted({0} | {i for i in range(40) if i % 4})
-    for bits in (64, 1 << 20):  # with 64 most ids are marked
-        monkeypatch.setattr(common, "MARK_BITS", bits)
-        kept = minhash.keep_one(df)
-        assert kept.columns == df.columns
-        assert sorted(r.doc_id for r in kept.collect()) == wanted
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for size in ("-1", "10m"):
+            spark.conf.set(name, size)
+            kept = minhash.keep_one(df)
+            assert kept.columns == df.columns
+            assert sorted(r.doc_id for r in kept.collect()) == wanted
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_rows_without_or_with_repeated_ids_are_judged_by_text(spark, docs):
