@@ -216,10 +216,9 @@ def _texts(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, words: int) -> D
     plain = stored(
         wanted.where(F.col("doc_id").isNotNull()).join(several, "doc_id", "left_anti").select("doc_id", "rep"), "plain"
     )
-    # A stored table has a measured size: Spark broadcasts it while that is small, and
-    # shuffles the texts once beyond. Repeated ids go where the join has put the rows,
-    # not in a shuffle of sets.
-    found = slim.join(plain, "doc_id").dropDuplicates(["doc_id"]).select("rep", "text")
+    # The texts are shuffled once, at every size alike: no ids are broadcast. Repeated
+    # ids go where the join has put the rows, not in a shuffle of sets.
+    found = slim.join(plain.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("rep", "text")
     others = wanted.join(plain, "rep", "left_anti")
     if others.isEmpty():
         return found
@@ -542,13 +541,13 @@ def _keep_one(docs: DataFrame, words: int, threshold: int, bands: int, rows: int
     repeated = changed.where("__copies > 1").select("__changed")
     doc_id = docs["doc_id"].cast("long")
     same_id = doc_id == F.col("__changed")
-    # As in _texts: a broadcast while the stored ids are small, else one shuffle of the texts.
-    once = docs.where(doc_id.isNotNull()).join(changed, same_id, "left_anti")
+    # As in _texts, one shuffle of the texts at every size.
+    once = docs.where(doc_id.isNotNull()).join(changed.hint("merge"), same_id, "left_anti")
     unclear = []
     if not sigs.where(F.col("doc_id").isNull()).isEmpty():
         unclear.append(docs.where(doc_id.isNull()))
     if not repeated.isEmpty():
-        unclear.append(docs.join(repeated, same_id, "left_semi"))
+        unclear.append(docs.join(repeated.hint("merge"), same_id, "left_semi"))
     for part in unclear:
         part = stored(_tagged(part.withColumn("__id", F.col("doc_id").cast("long")), words), "unclear")
         blank, unnamed = F.col("__set_n") == 0, F.col("__id").isNull()
