@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.functions.vector import dot
 from rankforge.operators.objective import gram
+from rankforge.operators.rating_blocks import deal
 
 
 def user_optimality(
@@ -26,21 +27,17 @@ def user_optimality(
     ``tolerance`` of the right one. Ratings must be positive; Y'Y is over all
     items and is one row.
     """
-    users = user_factors.select(F.col("id").alias("userId"), F.col("features").alias("x"))
-    items = item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("y"))
-    weighted = (
-        ratings.join(items, "movieId")
-        .join(users, "userId")
-        .select("userId", "x", "y", (alpha * F.col("rating")).alias("c"), dot("x", "y", rank).alias("d"))
-    )
-    # Sums only, no outer products: rank numbers a side.
-    right = ", ".join(f"sum((1 + c) * y[{k}])" for k in range(rank))
-    left = ", ".join(f"sum(c * d * y[{k}])" for k in range(rank))
-    sides = weighted.groupBy("userId").agg(
-        F.first("x").alias("x"),
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"array({right})").alias("right"),
-        F.expr(f"array({left})").alias("left"),
+
+    def terms(x: np.ndarray, y: np.ndarray, rating: np.ndarray) -> np.ndarray:
+        c = alpha * rating[:, None]
+        # Sums only, no outer products: rank numbers a side.
+        return np.hstack((np.ones_like(c), (1 + c) * y, c * (x * y).sum(1)[:, None] * y))
+
+    # An item's vector is sent once to each block of users, not once a rating.
+    summed = deal(ratings, "userId").sums(terms, 1 + 2 * rank, rank, others=item_factors, own=user_factors)
+    sides = summed.selectExpr(
+        "id AS userId", "own AS x", "sums[0] AS n",
+        f"slice(sums, 2, {rank}) AS right", f"slice(sums, {rank} + 2, {rank}) AS left",
     )
     gap = (
         f"transform(right, (r, i) -> r - left[i] - {regularization}D * n * x[i] - aggregate("
